@@ -1,0 +1,19 @@
+"""Every registered query of the engine and the DuckDB SQL that it is checked against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _tpch_q01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return line.filter("l_shipdate <= timestamp_ntz'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("count_order"))
+
+
+def queries():
+    return {"tpch_q01": _tpch_q01}
+
+
+def oracle_sql():
+    return {"tpch_q01": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, count(*) as count_order from lineitem where l_shipdate <= timestamp '1998-09-02' group by all"}
