@@ -7,6 +7,7 @@ is in `tidemark.functions.python`, registered under the same names with the pref
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 Template = tuple[str | Callable[[list[str]], str], str]
@@ -38,7 +39,7 @@ STRING = {
     **_alias("length=char_length char_length=char_length character_length=char_length octet_length=octet_length bit_length=bit_length ascii=ascii bit_count=bit_count", "int"),
     "concat": {"*": (lambda a: f"concat_ws('', {', '.join(f'cast({x} as string)' for x in a)})", "text")},
     "substring": {
-        2: (lambda a: f"regexp_substr({a[0]}, {a[1]})" if a[1].startswith("'") else f"substring({a[0]}, greatest({a[1]}, 1))", "text"),
+        2: (lambda a: (f"if(regexp_like({a[0]}, {a[1]}), regexp_extract({a[0]}, {a[1]}, 1), null)" if re.search(r"\((?!\?)", a[1]) else f"regexp_substr({a[0]}, {a[1]})") if a[1].startswith("'") else f"substring({a[0]}, greatest({a[1]}, 1))", "text"),
         3: (lambda a: f"if({a[2]} < 0, raise_error('negative substring length not allowed'), substring({a[0]}, greatest({a[1]}, 1), greatest({a[2]} + least({a[1]} - 1, 0), 0)))" if not a[2].startswith("'") else f"regexp_extract({a[0]}, {a[1]}, 1)", "text"),
     },
     "position": {2: ("position({0}, {1})", "int")},
@@ -147,7 +148,8 @@ CONDITIONAL = {
 }
 
 ARRAY = {
-    **_same("array_append array_prepend", "="),
+    **_same("array_append", "="),
+    "array_prepend": {2: ("array_prepend({1}, {0})", "=")},
     "array_cat": {2: ("concat({0}, {1})", "=")},
     "array_remove": {2: ("filter({0}, x -> not (x <=> {1}))", "=")},
     "array_replace": {3: ("transform({0}, x -> if(x <=> {1}, {2}, x))", "=")},
@@ -164,7 +166,7 @@ ARRAY = {
     "array_upper": {2: ("nullif(size({0}), 0)", "int")}, "array_lower": {2: ("if(size({0}) > 0, 1, null)", "int")},
     "cardinality": {1: ("size({0})", "int")},
     "string_to_array": {2: ("if({1} is null, split({0}, ''), if({0} = '', cast(array() as array<string>), split({0}, concat('\\\\Q', {1}, '\\\\E'))))", "text[]"), 3: ("transform(if({0} = '', cast(array() as array<string>), split({0}, concat('\\\\Q', {1}, '\\\\E'))), x -> nullif(x, {2}))", "text[]")},
-    "array_to_string": {2: ("array_join(transform({0}, x -> cast(x as string)), {1})", "text"), 3: ("array_join(transform({0}, x -> cast(x as string)), {1}, {2})", "text")},
+    "array_to_string": {2: ("array_join(cast({0} as array<string>), {1})", "text"), 3: ("array_join(cast({0} as array<string>), {1}, {2})", "text")},
 }
 
 
@@ -180,11 +182,10 @@ def _both(name: str, forms: dict[int | str, Template]) -> dict[str, dict[int | s
 
 
 def _path(keys: list[str]) -> str:
-    parts = [f"concat('[', {k}, ']')" if k.strip("'").isdigit() else f"concat('[\"', {k}, '\"]')" for k in keys]
-    literal = [k.strip("'") for k in keys]
+    """A quoted JSON path of keys and indexes."""
     if all(k.startswith("'") for k in keys):
-        return "'$" + "".join(f"[{k}]" if k.isdigit() else f"[\"{k}\"]" for k in literal) + "'"
-    return f"concat('$', {', '.join(parts)})"
+        return "'$" + "".join(f"[{k[1:-1]}]" if k[1:-1].isdigit() else f"[\\'{k[1:-1]}\\']" for k in keys) + "'"
+    return "concat('$', " + ", ".join(f"if({k} rlike '^[0-9]+$', concat('[', {k}, ']'), concat('[\\'', {k}, '\\']'))" for k in keys) + ")"
 
 
 JSON = {
@@ -193,7 +194,7 @@ JSON = {
     "row_to_json": {1: ("to_json({0}, map('ignoreNullFields', 'false'))", "json"), 2: ("to_json({0}, map('ignoreNullFields', 'false', 'pretty', cast({1} as string)))", "json")},
     "array_to_json": {1: ("to_json({0})", "json"), 2: ("to_json({0})", "json")},
     **_both("object", {1: ("to_json(map_from_entries(transform(sequence(0, size({0}) div 2 - 1), i -> struct({0}[2 * i], {0}[2 * i + 1]))))", "json"), 2: ("to_json(map_from_arrays({0}, {1}))", "json")}),
-    **_both("build_object", {"*": (lambda a: "concat('{', concat_ws(',', " + ", ".join(f"concat(to_json(cast({k} as string)), ':', coalesce(pg_to_json({v}), 'null'))" for k, v in zip(a[::2], a[1::2], strict=True)) + "), '}')" if a else "'{}'", "json")}),
+    **_both("build_object", {"*": (lambda a: "concat('{', concat_ws(',', " + ", ".join(f"concat(pg_to_json(cast({k} as string)), ':', coalesce(pg_to_json({v}), 'null'))" for k, v in zip(a[::2], a[1::2], strict=True)) + "), '}')" if a else "'{}'", "json")}),
     **_both("build_array", {"*": (lambda a: "concat('[', concat_ws(',', " + ", ".join(f"coalesce(pg_to_json({v}), 'null')" for v in a) + "), ']')" if a else "'[]'", "json")}),
     **_both("extract_path", {"*": (lambda a: f"to_json(variant_get(parse_json({a[0]}), {_path(a[1:])}, 'variant'))", "json")}),
     **_both("extract_path_text", {"*": (lambda a: f"get_json_object({a[0]}, {_path(a[1:])})", "text")}),
