@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -23,17 +24,23 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import is_held_out, over_batches, prepare
 
-SAMPLE_DOCS = 96
+SAMPLE_DOCS = 128
 SAMPLE_CHARS = 4_096
 DICT_BYTES = 112_640
-LEVEL = 3
-PIECE = 4_096
+LEVEL = 9
+PIECE = 1_024
 #: Margins, as a part of the smaller size, below which a prediction is rejected.
 MARGIN = 0.01
 #: The margin at which the score is 0.88 (tanh 1 lies half-way between 0.5 and 1).
 SCALE = 0.05
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """A text's words of letters in lower case, a space between them: case, digits and marks tell little of a language."""
+    return _OTHER.sub(" ", text.lower())
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -48,15 +55,32 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         part = F.when(F.col("lang") == lang, F.lit(2 * SAMPLE_DOCS / n)).otherwise(part)
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("lang-1"), F.col("doc_id").cast("string"), F.md5("text"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     rows = known.withColumn("draw", draw).filter(F.col("draw") < part).select("lang", "draw", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    texts: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["draw"], r["text"])):
+        texts.setdefault(r["lang"], []).extend(letters(line) for line in r["text"].split("\n"))
+    return contents({k: list(dict.fromkeys(t for t in v if t.strip())) for k, v in sorted(texts.items())})
+
+
+def contents(texts: dict[str, list[str]]) -> dict[str, bytes]:
+    """Dictionary content from each language's lines. Either half of them is first read by the other half's dictionaries: lines that those take for another language are likely foreign passages and left out."""
+    halves = [{k: v[h::2] for k, v in texts.items() if v[h::2]} for h in range(2)]
+    kept: dict[str, list[str]] = {k: [] for k in texts}
+    for own, other in (halves, halves[::-1]):
+        judge = Classifier(_joined(other))
+        for lang, some in own.items():
+            kept[lang] += [t for t in some if lang not in judge.langs or judge.predict(t)[0] == lang]
+    return _joined({k: kept[k] or v for k, v in texts.items()})
+
+
+def _joined(texts: dict[str, list[str]]) -> dict[str, bytes]:
+    """Words in an order of their own, so that a text matches by its words and not by a passage that it shares with the sample."""
     out = {}
-    for lang in sorted(sizes):
-        own, size = [], 0
-        for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["draw"], r["text"])):
-            if r["text"] not in own and size < DICT_BYTES:
-                own.append(r["text"])
-                size += len(r["text"].encode()) + 1
-        out[lang] = "\n".join(own).encode()[:DICT_BYTES]
-    return {k: v for k, v in out.items() if v}
+    for lang, lines in texts.items():
+        words = " ".join(lines).split()
+        order = np.random.default_rng(1).permutation(len(words))
+        if words:
+            out[lang] = " ".join(words[i] for i in order).encode()[-DICT_BYTES:]
+    return out
 
 
 class Classifier:
@@ -71,7 +95,7 @@ class Classifier:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if text is None or not self.langs or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
-        raw = text.encode()
+        raw = letters(text).encode()
         sizes = [0] * len(self.langs)
         for a in range(0, len(raw), PIECE):
             piece = raw[a : a + PIECE]
