@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # The random field.
 
-_TRIGGER = re.compile(r"[0-9](?:[^0-9A-Za-z\n]{0,3}[0-9]){6,}+|[\[({<] ?(?:at|AT|dot|DOT|@) ?[\])}>]|[A-Za-z0-9] (?:at|AT) [A-Za-z0-9-]{1,63} (?:dot|DOT) [A-Za-z]")
+_TRIGGER = re.compile(r"[0-9](?:[^0-9A-Za-z\n]{0,3}[0-9]){6,}+|[\[({<] ?(?:at|AT|dot|DOT|@|\.) ?[\])}>]|[A-Za-z0-9] (?:at|AT) [A-Za-z0-9-]{1,63} (?:dot|DOT) [A-Za-z]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[^\s]")
 _AT = r"(?:\s*[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s*|\s+(?:at|AT)\s+|@)"
 _DOT = r"(?:\s*[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s*|\s+(?:dot|DOT)\s+|\.)"
