@@ -4,7 +4,7 @@ Lines are hashed to 128 bits; the documents that hold each are counted, pre-aggr
 The hashes found in at least `min_docs` documents are dealt to shards of about SHARD_KEYS keys; a task
 builds each shard's minimal perfect hash (levels of bits in which a key that has a place of its own
 settles), with a 64-bit fingerprint and a count at each key's index. Documents probe those arrays: a
-line is dropped where the shard, the place and the fingerprint all agree, 128 bits in all.
+line is dropped where the fingerprint at its place in its shard agrees and the count is high enough.
 
 Shards up to MOST_BROADCAST bytes together are broadcast one by one, so the driver holds one at a
 time and a worker's arrays are bounded. Beyond that, documents' distinct hashes are joined with the
@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import over_batches, prepare, written
 
@@ -178,7 +179,7 @@ def _kept(text: str, drop: np.ndarray) -> str:
     return "\n".join([line for line, d in zip(text.split("\n"), drop.tolist(), strict=True) if not d]) if drop.any() else text
 
 
-def _by_probe(rows: DataFrame, packed: DataFrame, shards: int, min_docs: int, text_at: int, schema: str) -> DataFrame:
+def _by_probe(rows: DataFrame, packed: DataFrame, shards: int, min_docs: int, text_at: int, schema: T.StructType) -> DataFrame:
     sent = _broadcast_shards(packed)
 
     def probing():
@@ -203,6 +204,10 @@ def _by_probe(rows: DataFrame, packed: DataFrame, shards: int, min_docs: int, te
     return rows.mapInArrow(over_batches(probing), schema)
 
 
+def _with_results(rows: DataFrame) -> T.StructType:
+    return T.StructType([*rows.schema.fields, T.StructField("__kept", T.StringType()), T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
+
+
 def _by_join(rows: DataFrame, frequent: DataFrame, text_col: str) -> DataFrame:
     """The way for indexes too large to broadcast: (row, line) joined with the frequent hashes, regrouped by row."""
 
@@ -234,8 +239,7 @@ def _by_join(rows: DataFrame, frequent: DataFrame, text_col: str) -> DataFrame:
         return f
 
     joined = rows.join(firsts, "__row", "left")
-    schema = joined.schema.add("__kept", "string").add("__n_lines", "long").add("__n_dropped", "long")
-    return joined.mapInArrow(over_batches(dropped), schema).drop("__row", "__firsts")
+    return joined.mapInArrow(over_batches(dropped), _with_results(joined)).drop("__row", "__firsts")
 
 
 def probe(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -247,10 +251,7 @@ def probe(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, mos
         return _by_join(docs, frequent, text_col)
     shards = max(1, -(-n // SHARD_KEYS))
     packed = written(build_shards(frequent, shards), "shards")
-    schema = docs.schema
-    for c, kind in (("__kept", "string"), ("__n_lines", "long"), ("__n_dropped", "long")):
-        schema = type(schema)([*schema.fields]).add(c, kind)
-    return _by_probe(docs, packed, shards, min_docs, docs.columns.index(text_col), schema)
+    return _by_probe(docs, packed, shards, min_docs, docs.columns.index(text_col), _with_results(docs))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
