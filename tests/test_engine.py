@@ -155,3 +155,52 @@ def test_do_block(e):
 def test_plpgsql_function(e):
     e.sql("create function grade(x int) returns text language plpgsql as $$ begin if x > 8 then return 'high'; elsif x > 4 then return 'mid'; end if; return 'low'; end $$")
     assert [e.sql(f"select grade({x})").rows()[0][0] for x in (9, 5, 1)] == ["high", "mid", "low"]
+
+
+def test_before_trigger_changes_rows(e):
+    e.sql("create table t (k int, s text, n int)")
+    e.sql("create function tidy() returns trigger language plpgsql as $$ begin new.s := upper(new.s); if new.n is null then new.n := 0; elsif new.n > 100 then return null; end if; return new; end $$")
+    e.sql("create trigger tr before insert or update on t for each row execute function tidy()")
+    e.sql("insert into t values (1, 'a', null), (2, 'b', 500), (3, 'c', 7)")
+    assert rows(e, "select * from t") == [(1, "A", 0), (3, "C", 7)]
+    e.sql("update t set s = 'zz' where k = 3")
+    assert rows(e, "select s from t where k = 3") == [("ZZ",)]
+
+
+def test_after_trigger_writes_a_log(e):
+    e.sql("create table t (k int); create table log (op text, k int)")
+    e.sql("create function note() returns trigger language plpgsql as $$ begin if tg_op = 'DELETE' then insert into log values (tg_op, old.k); else insert into log values (tg_op, new.k); end if; return null; end $$")
+    e.sql("create trigger tr after insert or delete on t for each row execute function note()")
+    e.sql("insert into t values (1), (2); delete from t where k = 1")
+    assert rows(e, "select op, k from log") == [("DELETE", 1), ("INSERT", 1), ("INSERT", 2)]
+
+
+def test_after_trigger_on_insert(e):
+    e.sql("create table t (k int); create table log (op text, k int)")
+    e.sql("create function note() returns trigger language plpgsql as $$ begin insert into log values (tg_op, new.k * 10); return null; end $$")
+    e.sql("create trigger tr after insert on t for each row execute function note(); insert into t values (1), (2)")
+    assert rows(e, "select op, k from log") == [("INSERT", 10), ("INSERT", 20)]
+
+
+def test_foreign_table(e, spark):
+    from tidemark.sources import foreign
+
+    foreign.register(spark)
+    e.sql("create server s foreign data wrapper tidemark_series options (partitions '3'); create foreign table f (id bigint, label text) server s options (rows '7')")
+    assert rows(e, "select count(*), max(label) from f") == [(7, "row-6")]
+
+
+def test_search_columns(e):
+    e.sql("create table tree (k int, parent int); insert into tree values (1, null), (2, 1), (3, 1), (4, 2)")
+    q = "with recursive t(k) as (select k from tree where parent is null union all select tree.k from tree join t on tree.parent = t.k) search {} first by k set o select k from t order by o"
+    assert [r[0] for r in e.query(q.format("depth")).collect()] == [1, 2, 4, 3]
+    assert [r[0] for r in e.query(q.format("breadth")).collect()] == [1, 2, 3, 4]
+
+
+def test_client_helpers(e, tmp_path):
+    (tmp_path / "x.json").write_text('[{"a": 1}, {"a": 2}]')
+    e.load_url("j", f"file://{tmp_path}/x.json")
+    assert rows(e, "select sum(a) from j") == [(3,)]
+    assert [r.table_name for r in e.list_tables().collect()] == ["j"] and e.describe_table("j").first().column_name == "a"
+    e.reset()
+    assert e.list_tables().count() == 0

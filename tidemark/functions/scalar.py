@@ -76,6 +76,7 @@ STRING = {
     "set_byte": {3: ("overlay({0} placing unhex(lpad(hex({2}), 2, '0')) from {1} + 1 for 1)", "bytea")},
     "get_bit": {2: ("getbit({0}, {1})", "int")},
     "set_bit": {3: ("if({2} = 1, {0} | shiftleft(1L, {1}), {0} & ~shiftleft(1L, {1}))", "bigint")},
+    **{f"http_{m}": {1: (f"pg_http('{m.upper()}', {{0}}, null, null)", "json"), 2: (f"pg_http('{m.upper()}', {{0}}, {{1}}, null)", "json"), 3: (f"pg_http('{m.upper()}', {{0}}, {{1}}, {{2}})", "json")} for m in ("get", "post", "put", "patch", "delete", "head")},
     "urlencode": {1: ("url_encode({0})", "text")},
 }
 

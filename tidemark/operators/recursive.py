@@ -61,3 +61,20 @@ def with_cycle(base: DataFrame, step, keys: list[str], mark: str, path: str, mos
             return out
         out = out.unionByName(new)
     raise RecursionError(f"no end after {most} rounds")
+
+
+def with_search(base: DataFrame, step, keys: list[str], sequence: str, depth: bool, most: int = MOST_ROUNDS) -> DataFrame:
+    """UNION ALL recursion with a column to order by: the path of keys for depth first, level and keys for breadth first."""
+    key = F.struct(*(F.col(f"`{k}`") for k in keys))
+    columns = base.columns
+    mark = lambda level: F.array(key) if depth else F.struct(F.lit(level).alias("depth"), *(F.col(f"`{k}`") for k in keys))
+    new = stored(base.withColumn(sequence, mark(0)), "round")
+    out = new
+    for level in range(1, most + 1):
+        found = step(new, [sequence]).toDF(*columns, "__above")
+        found = found.withColumn(sequence, F.concat("__above", F.array(key)) if depth else mark(level)).select(*columns, sequence)
+        new = stored(found, "round")
+        if new.isEmpty():
+            return out
+        out = out.unionByName(new)
+    raise RecursionError(f"no end after {most} rounds")
