@@ -204,3 +204,9 @@ def test_client_helpers(e, tmp_path):
     assert [r.table_name for r in e.list_tables().collect()] == ["j"] and e.describe_table("j").first().column_name == "a"
     e.reset()
     assert e.list_tables().count() == 0
+
+
+def test_update_from_several_relations(e):
+    e.sql("create table t (k int, v int); create table a (k int, b int); create table b (id int, w int); insert into t values (1, 0), (2, 0); insert into a values (1, 7), (2, 8); insert into b values (7, 70), (9, 90)")
+    assert rows(e, "update t set v = b.w from a, b where t.k = a.k and a.b = b.id returning t.k, t.v") == [(1, 70)]
+    assert rows(e, "delete from t using a join b on a.b = b.id where t.k = a.k returning k") == [(1,)]
