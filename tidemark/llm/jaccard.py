@@ -2,12 +2,13 @@
 
 A text's set holds the hashes of its runs of SHINGLE words (lower case, cut at white space; a shorter text
 with a word is one run). Equal sets form one class, whatever their number. Each class is embedded into
-COORDINATES minhashes, whose agreement estimates the Jaccard similarity. A path starts at SAMPLES[0]
-sampled coordinates of each run: a class goes into the bucket of the coordinate's value. A bucket of more
-than SMALL classes is split again on SAMPLES[level] coordinates chosen by its own path; after the last
-level what is left of it counts as one. In small buckets all pairs are compared by their embeddings, and
-those that agree in LEAST_ALIKE of the coordinates or more become candidates (at the threshold that keeps
-all but 1 in 10,000). Runs repeat until a pair at the threshold meets with probability RECALL.
+COORDINATES minhashes, whose agreement estimates the Jaccard similarity. Each run begins a path at a
+sampled coordinate: a class goes into the bucket of the coordinate's value. A bucket of more than SMALL
+classes is split again on a coordinate chosen by its own path, LEVELS times at most. One that keeps ALIKE of
+the classes it was split from holds classes that are much alike, so it is not split further and counts as one;
+so does what is left after the last level. In small buckets all pairs are compared by their embeddings, and those that agree in
+LEAST_ALIKE of the coordinates or more become candidates (at the threshold that keeps all but 1 in 10,000).
+Runs repeat until a pair at the threshold meets with probability RECALL, even if all its buckets split to the end.
 
 Candidates only tie classes into groups. Within a group the whole sets are compared exactly: groups of up
 to BLOCK classes in one task, larger ones as blocks against blocks, so no task holds more than two blocks.
@@ -36,10 +37,11 @@ SHINGLE = 5
 THRESHOLD = (4, 5)
 COORDINATES = 64
 LEAST_ALIKE = 38
-SAMPLES = (3, 2, 2)
+LEVELS = 3
+ALIKE = (7, 10)
 RECALL = 0.999
 SMALL = 256
-BLOCK = 512
+BLOCK = 256
 #: Rows of a table that may be broadcast: paths, or members of groups (16 bytes each).
 MOST_BROADCAST = 500_000
 
@@ -93,15 +95,11 @@ def embedded(own: np.ndarray) -> np.ndarray:
 
 def runs_for(recall: float = RECALL) -> int:
     """Runs until a pair at the threshold meets with this probability even if all its buckets are split to the end."""
-    apart = 1 - THRESHOLD[0] / THRESHOLD[1]
-    meets = math.prod(1 - apart**k for k in SAMPLES)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meets))
+    return math.ceil(math.log(1 - recall) / math.log(1 - (THRESHOLD[0] / THRESHOLD[1]) ** LEVELS))
 
 
 def _first_coordinates() -> np.ndarray:
-    r = np.random.default_rng(7)
-    n = runs_for() * SAMPLES[0]
-    return np.concatenate([r.permutation(COORDINATES) for _ in range(-(-n // COORDINATES))])[:n]
+    return np.random.default_rng(7).permutation(COORDINATES)[: runs_for()]
 
 
 def paths_of(minhashes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -180,23 +178,24 @@ def _small_enough(df: DataFrame) -> bool:
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Edges a, b that tie keys (and what is left of buckets after the last level) into groups."""
-    rows = classes.select(F.explode("paths").alias("path"), "key", "alike")
+    rows = classes.select(F.explode("paths").alias("path"), "key", "alike", F.lit(0).cast("long").alias("from"))
     out = None
-    for level in range(len(SAMPLES)):
-        large = written(rows.groupBy("path").count().filter(F.col("count") > SMALL).select("path"), "paths")
+    for level in range(LEVELS):
+        sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.any_value("from").alias("from")).filter(F.col("n") > SMALL)
+        alike = (F.col("from") > 0) & (F.col("n") * ALIKE[1] >= F.col("from") * ALIKE[0])
+        large = written(sizes.select("path", "n", (alike | F.lit(level + 1 == LEVELS)).alias("whole")), "paths")
         some = large.limit(1).count() > 0
         one = F.broadcast(large) if _small_enough(large) else large
         small = rows.join(one, "path", "left_anti") if some else rows
-        tied = small.repartition("path").sortWithinPartitions("path").mapInArrow(_compare_buckets, "a long, b long")
+        tied = small.select("path", "key", "alike").repartition("path").sortWithinPartitions("path").mapInArrow(_compare_buckets, "a long, b long")
         out = tied if out is None else out.unionByName(tied)
         if not some:
-            return out
-        left = rows.join(one, "path")
-        if level + 1 == len(SAMPLES):
-            return out.unionByName(left.select(F.col("key").alias("a"), F.col("path").alias("b")))
-        places = [F.pmod(F.xxhash64("path", F.lit(k)), F.lit(COORDINATES)).cast("int") for k in range(SAMPLES[level + 1])]
-        child = F.explode(F.array_distinct(F.array(*(F.xxhash64("path", p, F.substring("alike", p + 1, F.lit(1))) for p in places))))
-        rows = left.select(child.alias("path"), "key", "alike")
+            break
+        left = written(rows.drop("from").join(one, "path"), "left")  # of large buckets only; each level reads the one before once
+        out = out.unionByName(left.filter("whole").select(F.col("key").alias("a"), F.col("path").alias("b")))
+        place = F.pmod(F.xxhash64("path"), F.lit(COORDINATES)).cast("int")
+        child = F.xxhash64("path", place, F.substring("alike", place + 1, F.lit(1)))
+        rows = left.filter("not whole").select(child.alias("path"), "key", "alike", F.col("n").alias("from"))
     return out
 
 
