@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import os
 import random
 import re
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import components, embeddings, jaccard, lines, mixing, queries
+from tidemark.llm import common, components, embeddings, jaccard, lines, mixing, queries
 from tidemark.llm.common import table
 
 
@@ -316,3 +317,11 @@ def test_pipeline_on_awkward_rows(spark, awkward, nothing, sf):
             now = stage(spark, now, sf)
             assert now.columns == t.columns
         assert corpus_pipeline.STAGES[-1][1](spark, now, sf).count() == now.count()
+
+
+def test_release_deletes_written_tables(spark):
+    kept = common.written(spark.range(3), "some")
+    assert kept.count() == 3
+    at = common._tables[-1]
+    common.release(spark)
+    assert not common._tables and not os.path.exists(at.removeprefix("file://"))

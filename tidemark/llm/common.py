@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACES = " \t\n\x0b\x0c\r"
+from tidemark.session import ship
+
 #: Rows of an Arrow batch: whole documents travel in them, so fewer than Spark's default.
 BATCH_ROWS = 1024
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small: a batch holds whole texts."""
+    """Executors get the package, and Arrow batches are kept small: a batch holds whole texts."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -30,14 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends here and survives executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _tables.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that operators have written so far; results that still read them must be stored before."""
+    while _tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
