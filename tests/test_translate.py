@@ -52,6 +52,7 @@ def e(spark, sf):
         ("select sum(v) over (order by v rows between unbounded preceding and unbounded following exclude current row) from (values (1), (2), (4)) as t(v) order by 1", [(3.0,), (5.0,), (6.0,)]),
         ("select string_agg(s, '-' order by s desc) from (values ('a'), ('c'), ('b')) as t(s)", [("c-b-a",)]),
         ("select (array[1, 2, 3])[2], (array[1, 2, 3])[0], '{4,5}'::int[]", [(2, None, [4, 5])]),
+        ("select a.k, w, sum(w) over (partition by a.g order by b.k, a.k groups between 1 preceding and current row exclude current row) as s from (values (1, 'x'), (2, 'x'), (3, 'x')) as a(k, g) join (values (1, 10), (2, 20), (3, 30)) as b(k, w) on a.k = b.k order by a.k", [(1, 10, None), (2, 20, 10.0), (3, 30, 20.0)]),
         ("select 3 = any(array[1, 2]), 3 <> all(array[1, 2])", [(False, True)]),
         ("select 1 where 2 > all(select x from (values (1), (0)) as t(x))", [(1,)]),
         ("select 1 where 5 > all(select x from (values (1)) as t(x) where x > 9)", [(1,)]),
