@@ -29,6 +29,8 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 #: The last pre-tokens of a cut chunk may have looked past its end; so many are not trusted.
 MARGIN = 3
+#: Bytes of a piece up to which all pairs are searched.
+SHORT = 64
 #: Pieces whose encoding a worker remembers.
 REMEMBERED = 400_000
 
@@ -45,6 +47,7 @@ class Encoder:
                 token, rank = line.split()
                 self.ranks[base64.b64decode(token)] = int(rank)
         self.token = {rank: token for token, rank in self.ranks.items()}
+        self.none = max(self.ranks.values(), default=0) + 1
         self.pattern = regex.compile(pattern)
         self.memo: dict[str, bytes] = {}
 
@@ -54,6 +57,8 @@ class Encoder:
         if piece in ranks:
             return [ranks[piece]]
         n = len(piece)
+        if n <= SHORT:
+            return self.merge_short(piece)
         end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n  # by a part's first byte
 
         def pair(i: int) -> tuple[int, int, int] | None:
@@ -82,6 +87,21 @@ class Encoder:
             i = end[i]
         return out
 
+    def merge_short(self, piece: bytes) -> list[int]:
+        """merge() for pieces of which a list of all pairs' ranks is quick to search."""
+        get, none = self.ranks.get, self.none
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (low := min(pairs)) < none:
+            i = pairs.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return [self.ranks[p] for p in parts]
+
     def packed(self, piece: str) -> bytes:
         """Ids of a piece as little-endian unsigned 32-bit integers."""
         if (out := self.memo.get(piece)) is None:
