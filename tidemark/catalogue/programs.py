@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import system
 from tidemark.engine import Engine
 from tidemark.operators import asof, dml, recursive
 from tidemark.sources import foreign, readers
@@ -146,6 +147,13 @@ def sys_catalog(spark, sf_dir):
     return e.query("select c.relname, count(*) as n from pg_catalog.pg_class c join pg_catalog.pg_attribute a on a.attrelid = c.oid group by c.relname")
 
 
+def sys_relations(spark, sf_dir):
+    """Every system relation can be read."""
+    e = _engine(spark, sf_dir, "region")
+    e.sql("create view v as select r_name from region; create sequence s; create type mood as enum ('a', 'b')")
+    return e.query(" union all ".join(f"select '{name}' as relation, count(*) >= 0 as ok from {name}" for name in system.RELATIONS))
+
+
 def rls_filter(spark, sf_dir):
     e = _customers(spark, sf_dir)
     e.sql("alter table c enable row level security; create policy p on c for select using (c_nationkey = 4); set role alice")
@@ -244,6 +252,7 @@ ORACLE = {
     "fn_sql_table": "select n_nationkey as k, n_name as name from nation where n_regionkey = 2",
     "sys_columns": "select * from (values ('r_regionkey', 'integer', 1), ('r_name', 'text', 2)) as v(column_name, data_type, ordinal_position)",
     "sys_catalog": "select * from (values ('region', 2::bigint), ('nation', 3::bigint)) as v(relname, n)",
+    "sys_relations": "select unnest([" + ", ".join(f"'{name}'" for name in system.RELATIONS) + "]) as relation, true as ok",
     "rls_filter": "select c_custkey from customer where c_nationkey = 4",
     "prepared_statement": "select n_name from nation where n_regionkey = 1 and n_nationkey > 5",
     "source_csv_copy": "select n_nationkey as k, n_name as name, n_regionkey as r from nation",

@@ -145,6 +145,8 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "srf_jsonb_path_query": ("select j from jsonb_path_query('{\"a\": [1, 2, 3, 4]}', '$.a[*] ? (@ > 2)') as t(j)", "select * from (values ('3'), ('4')) as v(j)"),
     "srf_json_to_record": ("select a, b from json_to_record('{\"a\": 5, \"b\": \"q\"}') as t(a int, b text)", "select 5 as a, 'q' as b"),
     "srf_json_to_recordset": ("select a, b from json_to_recordset('[{\"a\": 1, \"b\": \"x\"}, {\"a\": 2}]') as t(a int, b text)", "select * from (values (1, 'x'), (2, null)) as v(a, b)"),
+    "srf_jsonb_names": ("select (select count(*) from jsonb_array_elements('[1, 2]') as a(j)) as a, (select string_agg(j, ',' order by j) from jsonb_array_elements_text('[\"q\", \"p\"]') as b(j)) as b, (select string_agg(key || value, ',' order by key) from jsonb_each('{\"x\": 1, \"y\": true}') as c(key, value)) as c, (select string_agg(key || value, ',' order by key) from jsonb_each_text('{\"x\": 1}') as d(key, value)) as d, (select max(k) from jsonb_object_keys('{\"a\": 1, \"b\": 2}') as e(k)) as e, (select max(a) from jsonb_to_record('{\"a\": 4}') as f(a int)) as f, (select sum(a) from jsonb_to_recordset('[{\"a\": 1}, {\"a\": 5}]') as g(a int)) as g, (select sum(a) from jsonb_populate_recordset(null, '[{\"a\": 1}, {\"a\": 6}]') as h(a int)) as h, (select max(a) from json_populate_record(null, '{\"a\": 9}') as i(a int)) as i", "select 2::bigint as a, 'p,q' as b, 'x1,ytrue' as c, 'x1' as d, 'b' as e, 4 as f, 6::bigint as g, 7::bigint as h, 9 as i"),
+    "agg_jsonb": ("select n_regionkey, jsonb_agg(n_name order by n_nationkey) as a, jsonb_object_agg(n_name, n_regionkey) as o, bit_xor(n_nationkey) as x from nation where n_nationkey < 9 group by n_regionkey", "select n_regionkey, '[' || string_agg('\"' || n_name || '\"', ',' order by n_nationkey) || ']' as a, '{' || string_agg('\"' || n_name || '\":' || n_regionkey, ',' order by n_name) || '}' as o, bit_xor(n_nationkey) as x from nation where n_nationkey < 9 group by n_regionkey"),
     "srf_regexp_matches": ("select array_to_string(m, '-') as m from regexp_matches('foo1bar22', '([a-z]+)([0-9]+)', 'g') as t(m)", "select * from (values ('foo-1'), ('bar-22')) as v(m)"),
     "srf_regexp_split_to_table": ("select w, count(*) as n from nation, regexp_split_to_table(n_name, '_') as t(w) group by w", "select w, count(*) as n from (select unnest(string_split(n_name, '_')) as w from nation) as q group by w"),
     "srf_string_to_table": ("select w from string_to_table('a,b,,c', ',') as t(w)", "select unnest(['a', 'b', '', 'c']) as w"),
