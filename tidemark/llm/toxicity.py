@@ -40,7 +40,9 @@ REPEAT = 0.4
 SEED = 11
 REJECT = 0.3
 #: Distinct words a worker remembers (48 numbers each).
-REMEMBERED = 150_000
+REMEMBERED = 100_000
+#: Words whose n-grams are handled at a time.
+CHUNK = 8_192
 #: Windows that are scored at a time.
 BLOCK = 1_024
 
@@ -54,6 +56,9 @@ def words_of(text: str) -> list[str]:
 
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte n-grams (n in SIZES) of words with their edges marked: all words' in a row, and how many each has."""
+    if len(words) > CHUNK:
+        parts = [grams_of(words[a : a + CHUNK]) for a in range(0, len(words), CHUNK)]
+        return np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
     raw = [b"\x02" + w.encode() + b"\x03" for w in words]
     size = np.array([len(w) for w in raw])
     flat, end = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64), np.repeat(np.cumsum(size), size)
@@ -69,7 +74,7 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             owner.append(word[inside])
     owner_all = np.concatenate(owner)
     order = np.argsort(owner_all, kind="stable")
-    return np.concatenate(found)[order].astype(np.int64), np.bincount(owner_all, minlength=len(words))
+    return np.concatenate(found)[order].astype(np.int32), np.bincount(owner_all, minlength=len(words))
 
 
 def word_of(word: str) -> int:
@@ -98,6 +103,9 @@ class Network:
 
     def inputs(self, word_ids: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """(n, 2 * DIM): the inputs of words."""
+        if len(sizes) > CHUNK:
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            return np.concatenate([self.inputs(word_ids[a : a + CHUNK], grams[ends[a] : ends[min(a + CHUNK, len(sizes))]], sizes[a : a + CHUNK]) for a in range(0, len(sizes), CHUNK)])
         mean = np.add.reduceat(self.p["grams"][grams], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
         return np.concatenate([self.p["words"][word_ids], mean], axis=1)
 
@@ -237,7 +245,7 @@ class Vocabulary:
 def _filled(ids: np.ndarray) -> np.ndarray:
     """The windows of a document's words, filled up with -1."""
     starts = window_starts(len(ids))
-    padded = np.full(starts[-1] + WINDOW, -1, np.int64)
+    padded = np.full(starts[-1] + WINDOW, -1, np.int32)
     padded[: len(ids)] = ids
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
@@ -260,9 +268,10 @@ def fit(rows: list[tuple[str, int]], seed: int = SEED) -> Network:
         share = float(labels.mean()) if len(rows) else 0.0
         network.calibration = (0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
         return network
-    docs = [words_of(t) or [""] for t, _ in rows]
-    known = sorted({w for d in docs for w in d})
-    number = {w: i for i, w in enumerate(known)}
+    number: dict[str, int] = {}
+    ids_of = [np.array([number.setdefault(w, len(number)) for w in words_of(t) or [""]], np.int32) for t, _ in rows]
+    known = list(number)
+    del number
     word_ids = np.array([word_of(w) for w in known])
     grams, sizes = grams_of(known)
     begin = np.cumsum(sizes) - sizes
@@ -271,7 +280,6 @@ def fit(rows: list[tuple[str, int]], seed: int = SEED) -> Network:
         n = sizes[ids]
         return grams[np.repeat(begin[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
-    ids_of = [np.array([number[w] for w in d]) for d in docs]
     seen_words, seen_grams = np.zeros((2, len(known))), np.zeros((2, GRAMS))
     for ids, y in zip(ids_of, labels, strict=True):
         own = np.unique(ids)
@@ -283,7 +291,7 @@ def fit(rows: list[tuple[str, int]], seed: int = SEED) -> Network:
 
     windows = [_filled(ids) for ids in ids_of]
     every, ends = np.concatenate(windows), np.cumsum([len(w) for w in windows])[:-1]
-    cut = r.random(len(docs)) < 0.2  # left out for the calibration
+    cut = r.random(len(rows)) < 0.2  # left out for the calibration
     if not (labels[cut].any() and (1 - labels[cut]).any() and labels[~cut].any() and (1 - labels[~cut]).any()):
         cut[:] = False
     train = np.flatnonzero(~cut)
@@ -348,7 +356,7 @@ def fit(rows: list[tuple[str, int]], seed: int = SEED) -> Network:
                 second += 0.001 * d * d
                 value -= (RATE * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)) * first / (np.sqrt(second) + 1e-8)
     top = np.array([x.max() for x in np.split(_logits(network, network.inputs(word_ids, grams, sizes), every), ends)])
-    use = cut if cut.any() else np.ones(len(docs), bool)
+    use = cut if cut.any() else np.ones(len(rows), bool)
     network.calibration = _calibrated(top[use], labels[use])
     return network
 
