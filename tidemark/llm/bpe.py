@@ -17,7 +17,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,7 +31,7 @@ MARGIN = 3
 #: Bytes of a piece up to which all pairs are searched.
 SHORT = 64
 #: Pieces whose encoding a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
@@ -200,17 +199,19 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
         return f
 
-    def stitched(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own, copies = _encoder(shared, pattern), int((rows["at"] == 0).sum())  # rows alike meet in one group
-        rows = rows.drop_duplicates("at").sort_values("at")
-        pieces = stitch(own, list(zip(rows["at"], rows["chunk"], strict=True)), [np.frombuffer(x, "<i8").tolist() for x in rows["starts"]])
+    def stitched(key: tuple, rows: pa.Table) -> pa.Table:
+        own, places = _encoder(shared, pattern), rows.column("at").to_pylist()
+        copies = places.count(0)  # rows alike meet in one group
+        chunk, starts = rows.column("chunk"), rows.column("starts")
+        order = sorted({at: i for i, at in enumerate(places)}.items())
+        pieces = stitch(own, [(at, chunk[i].as_py()) for at, i in order], [np.frombuffer(starts[i].as_py(), "<i8").tolist() for _, i in order])
         ids = own.encode(pieces)
-        return pd.DataFrame({"doc_id": pd.array([key[0]] * copies, "Int64"), "n_tokens": len(ids) // 4, "ids": ids, "decoded": own.decode(ids)})
+        return pa.table({"doc_id": pa.array([key[0].as_py()] * copies, pa.int64()), "n_tokens": pa.array([len(ids) // 4] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary()), "decoded": pa.array([own.decode(ids)] * copies, pa.binary())})
 
     short = docs.filter(~long).mapInArrow(over_batches(whole), SCHEMA)
     cuts = docs.filter(long).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(split, "doc_id long, text_hash long, at long, chunk string")
     marked = cuts.repartition(F.col("doc_id"), F.col("at")).mapInArrow(over_batches(pre_tokenised), "doc_id long, text_hash long, at long, chunk string, starts binary")
-    return short.unionByName(marked.groupBy(*keys).applyInPandas(stitched, SCHEMA))
+    return short.unionByName(marked.groupBy(*keys).applyInArrow(stitched, SCHEMA))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.session import ship
 
 #: Rows of an Arrow batch: whole documents travel in them, so fewer than Spark's default.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:

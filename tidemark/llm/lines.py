@@ -21,7 +21,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -152,12 +151,14 @@ def line_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def build_shards(frequent: DataFrame, shards: int) -> DataFrame:
     """A row for each shard that has keys: its arrays. A shard's group has about SHARD_KEYS rows, spread by the hash."""
 
-    def built(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        place, prints = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("place", "print"))
-        return pd.DataFrame([{"shard": key[0]} | Shard.packed(place, prints, rows["n"].to_numpy(np.int64))])
+    def built(key: tuple, rows: pa.Table) -> pa.Table:
+        place, prints = (rows.column(c).to_numpy().view(np.uint64) for c in ("place", "print"))
+        packed = Shard.packed(place, prints, rows.column("n").to_numpy())
+        kinds = {"levels": pa.list_(pa.binary()), "widths": pa.list_(pa.int64()), "prints": pa.binary(), "counts": pa.binary()}
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64())} | {k: pa.array([packed[k]], kind) for k, kind in kinds.items()})
 
     at = F.shiftrightunsigned("place", 40) % shards
-    return frequent.withColumn("shard", at.cast("long")).groupBy("shard").applyInPandas(built, "shard long, levels array<binary>, widths array<long>, prints binary, counts binary")
+    return frequent.withColumn("shard", at.cast("long")).groupBy("shard").applyInArrow(built, "shard long, levels array<binary>, widths array<long>, prints binary, counts binary")
 
 
 def _broadcast_shards(packed: DataFrame) -> dict[int, object]:
