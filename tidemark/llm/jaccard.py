@@ -41,7 +41,7 @@ LEVELS = 3
 ALIKE = (7, 10)
 RECALL = 0.999
 SMALL = 256
-BLOCK = 256
+BLOCK = 128
 #: Rows of a table that may be broadcast: paths, or members of groups (16 bytes each).
 MOST_BROADCAST = 500_000
 
@@ -256,7 +256,8 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = written(_sets(docs), "sets")
     classes = written(sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.any_value("alike").alias("alike"), F.any_value("paths").alias("paths")), "classes")
-    group = components(candidates(classes)).withColumnRenamed("v", "key").withColumnRenamed("root", "group")
+    tied = written(candidates(classes), "tied")  # so that no task runs two Python steps at once
+    group = components(tied).withColumnRenamed("v", "key").withColumnRenamed("root", "group")
     group = written(classes.select("key", "rep", "weight").join(group, "key"), "groups")  # without the nodes of paths
     sizes = group.groupBy("group").count().filter("count > 1")
     few = _small_enough(group)
