@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ OVERLAP_CHARS = 1_024
 MARGIN = 3
 #: Bytes of a piece up to which all pairs are searched.
 SHORT = 64
-#: Pieces whose encoding a worker remembers.
-REMEMBERED = 150_000
+#: Pieces whose encoding a worker remembers, in each of two generations.
+REMEMBERED = 100_000
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
@@ -49,6 +50,7 @@ class Encoder:
         self.none = max(self.ranks.values(), default=0) + 1
         self.pattern = regex.compile(pattern)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: the adjacent pair of lowest rank merges first, leftmost among equals."""
@@ -104,9 +106,11 @@ class Encoder:
     def packed(self, piece: str) -> bytes:
         """Ids of a piece as little-endian unsigned 32-bit integers."""
         if (out := self.memo.get(piece)) is None:
-            out = np.array(self.merge(piece.encode()), "<u4").tobytes()
-            if len(self.memo) >= REMEMBERED:
-                self.memo.clear()
+            if (out := self.older.get(piece)) is None:
+                ids = self.merge(piece.encode())
+                out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.memo) >= REMEMBERED:  # what was used since the last time stays
+                self.older, self.memo = self.memo, {}
             if len(piece) <= 64:
                 self.memo[piece] = out
         return out
