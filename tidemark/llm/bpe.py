@@ -32,7 +32,7 @@ MARGIN = 3
 #: Bytes of a piece up to which all pairs are searched.
 SHORT = 64
 #: Pieces whose encoding a worker remembers, in each of two generations.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
