@@ -129,6 +129,15 @@ def test_added_spans_never_touch_base():
         assert all(b <= x or y <= a for x, y, _ in base)
 
 
+def test_text_beside_base_spans_is_decoded():
+    field = pii.fitted()
+    for text, want in (
+        ("+1 (988) 555-2485, (212) 555-0187", ["(212) 555-0187"]), ("4111 1111 1111 1111, 555-123-4567", ["555-123-4567"]), ("555-123-4567, 4111 1111 1111 1111", ["555-123-4567"]),
+        ("mail a@b.co or c (at) d (dot) org, +1 (988) 555-2485, (212) 555-0187", ["c (at) d (dot) org", "(212) 555-0187"]), ("10.0.0.1 555-123-4567 10.0.0.2", ["555-123-4567"]),
+    ):
+        assert [text[a:b] for a, b, _ in pii.added_spans(text, pii.base_spans(text), field)] == want
+
+
 def test_pii_table(awkward, nothing):
     rows = pii.digests(pii.find(awkward)).collect()
     assert len(rows) == awkward.count()

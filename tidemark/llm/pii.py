@@ -302,28 +302,38 @@ def fitted(seed: int = SEED) -> Field:
     return field
 
 
-def added_spans(text: str, base: list[tuple[int, int, str]], field: Field) -> list[tuple[int, int, str]]:
-    """What the field finds between base spans around triggers."""
-    holes = sorted((a, b) for a, b, _ in base)
-    out: list[tuple[int, int, str]] = []
-    done, k = 0, 0
-    for m in _TRIGGER.finditer(text):
-        while k < len(holes) and holes[k][1] <= m.start():
-            k += 1
-        if m.start() < done or k < len(holes) and holes[k][0] < m.end():
-            continue  # read already, or part of a base span
-        low = max(done, m.start() - AROUND, holes[k - 1][1] if k else 0, text.rfind("\n", 0, m.start()) + 1)
-        while low > done and low > 0 and text[low - 1].isalnum() and low < m.start():
+def stretches(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What base spans leave of the text."""
+    out, at = [], 0
+    for a, b, _ in sorted(base):
+        if at < a:
+            out.append((at, a))
+        at = max(at, b)
+    return [*out, (at, len(text))] if at < len(text) else out
+
+
+def parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The parts of a stretch that are decoded: triggers and what is around them in their line; those that meet are one."""
+    out: list[tuple[int, int]] = []
+    for m in _TRIGGER.finditer(text, a, b):
+        low, high = max(a, m.start() - AROUND, text.rfind("\n", a, m.start()) + 1), min(b, m.end() + AROUND)
+        while low < m.start() and low > a and text[low - 1].isalnum() and text[low].isalnum():
             low += 1  # not in the middle of a word
-        high = min(len(text), m.end() + AROUND, holes[k][0] if k < len(holes) else len(text))
-        part = text[low:high]
-        for a, b, kind in field.decode(part):
-            if not any(x < low + b and low + a < y for x, y in holes[max(0, k - 1) : k + 1]):
-                out.append((low + a, low + b, kind))
-        done = max(m.end(), out[-1][1] if out else 0)
+        while high > m.end() and high < b and text[high - 1].isalnum() and text[high].isalnum():
+            high -= 1
+        if (end := text.find("\n", m.end(), high)) >= 0:
+            high = end
+        if out and low <= out[-1][1]:
+            low = out.pop()[0]
+        out.append((low, high))
     return out
 
 
+def added_spans(text: str, base: list[tuple[int, int, str]], field: Field) -> list[tuple[int, int, str]]:
+    """What the field finds around triggers in each stretch between base spans."""
+    return [(low + x, low + y, kind) for a, b in stretches(text, base) for low, high in parts(text, a, b) for x, y, kind in field.decode(text[low:high])]
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
