@@ -1,8 +1,8 @@
 """Personal data: fixed base patterns, and a semi-Markov conditional random field that adds spans they miss.
 
 Base spans (email, ip, card, phone) follow fixed patterns, leftmost and non-overlapping within a kind.
-Around what looks like a disguised one (digits in loose groups, "(at)", "at ... dot ...") the text outside
-base spans is cut into tokens, and the random field scores segments of up to MOST_TOKENS tokens as wholes:
+Around what can make a disguised one (any digits, at signs, "(at)", "at" before a label and some dot) the
+text outside base spans is cut into tokens, and the random field scores segments of up to MOST_TOKENS tokens as wholes:
 digit counts, separators, check digits, whole-span shapes, both edges and the words before. Its weights
 are fitted by conditional log-likelihood (forward-backward over segments) on sentences written by rule
 from a fixed seed; a bounded-entity Viterbi pass chooses boundaries and kinds jointly. Added spans
@@ -78,15 +78,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # The random field.
 
-_TRIGGER = re.compile(r"[0-9](?:[^0-9A-Za-z\n]{0,3}[0-9]){6,}+|[\[({<] ?(?:at|AT|dot|DOT|@|\.) ?[\])}>]|[A-Za-z0-9] (?:at|AT) [A-Za-z0-9-]{1,63} (?:dot|DOT) [A-Za-z]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[^\s]")
-_AT = r"(?:\s*[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s*|\s+(?:at|AT)\s+|@)"
-_DOT = r"(?:\s*[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s*|\s+(?:dot|DOT)\s+|\.)"
-_MAIL = re.compile(rf"[A-Za-z0-9._%+-]+?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
+_SIGN = r"\s*(?:[\[({<]\s?(?:at|AT|@)\s?[\])}>]|@)\s*"
+_DOT = r"(?:\s*[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s*|\s+(?:dot|DOT)\s+)"
+#: After a plain dot the last label is of one case and has a letter first: not "at 10.30", not "at home.Then".
+_LAST = r"(?:[a-z][a-z0-9-]+|[A-Z][A-Z0-9-]+)"
+_MAIL = re.compile(rf"[A-Za-z0-9._%+-]+?(?:\s+(?:at|AT)\s+[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*?(?:{_DOT}[A-Za-z][A-Za-z0-9-]*|\.{_LAST})|{_SIGN}[A-Za-z0-9-]+(?:(?:{_DOT}|\s+\.\s+|\.)[A-Za-z0-9-]+)*?(?:{_DOT}[A-Za-z][A-Za-z0-9-]*|(?:\s+\.\s+|\.){_LAST}))")
 _QUAD = re.compile(r"[0-9]{1,3}(?:(?:\s?\.\s?|\s?[\[(]\s?(?:\.|dot)\s?[\])]\s?)[0-9]{1,3}){3}")
 _GROUPED = re.compile(r"[0-9]{4}(?:[^0-9A-Za-z]{1,3}[0-9]{4}){2}[^0-9A-Za-z]{1,3}[0-9]{1,7}")
 _DIALLED = re.compile(r"(?:\+|00)?[0-9]{0,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ ./-]{1,2}[0-9]{2,4}){2,3}")
 _DATED = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}|[0-9]{1,2}:[0-9]{2}")
+#: What can make a segment an entity: any digits, an at sign or an at or dot in brackets, and the word "at" where a label and some dot follow.
+_TRIGGER = re.compile(r"[0-9]++(?:[^0-9A-Za-z\n]{1,3}[0-9]++)*+|@|[\[({<][^\S\n]?(?:at|AT|dot|DOT|\.)[^\S\n]?[\])}>]|(?<=[A-Za-z0-9._%+-])[^\S\n]++(?:at|AT)[^\S\n]++[A-Za-z0-9-]++(?:[^\S\n]++(?:dot|DOT)[^\S\n]|[^\S\n]*+[\[({<]|\.[A-Za-z0-9-])")
 _CUES = tuple(re.compile(rf"(?:{w})\W{{0,4}}\Z", re.I) for w in (r"e-?mail|mail|write to|contact", r"ip|host|server|address", r"card|visa|account|paid with", r"call|tel|phone|fax|mobile|ring"))
 N_FEATURES = 29
 
