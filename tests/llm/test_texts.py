@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import wave
 import zlib
 from io import BytesIO
@@ -189,6 +190,16 @@ def test_licence_templates_are_found_and_pruned():
         assert bool(one.scan(text)) == (2 * min(a, b) / (a + b) >= 0.8)
 
 
+def test_wrapped_and_commented_licences_are_found():
+    s = licences.Scanner(licences.TEMPLATES, licences.LEAST)
+    assert s.scan("prose of some kind\nThis work is licensed under the GNU General\nPublic License, version 3. more prose of it") == [("GPL-3.0", 1.0, 1)]
+    assert s.scan("Released under the MIT License. Released under the MIT License.") == [("MIT", 1.0, 2)]
+    for name, notice in licences.TEMPLATES.items():
+        for mark in ("", " * ", "# ", "// "):
+            lines = ["Copyright (c) 2020 Some One", *textwrap.wrap(f"{notice} And then more words follow.", 60), "THE SOFTWARE IS PROVIDED AS IS, WITHOUT ANY WARRANTY"]
+            assert name in [x for x, *_ in s.scan("\n".join(mark + x for x in lines))], (name, mark)
+
+
 def test_licence_table_matches_unpruned(docs, awkward, nothing):
     def plain(text):
         units = {u for p in [text, *re.split(r"\n[ \t\r]*\n", text)] for line in [p, *p.split("\n")] for u in [line, *re.split(r"(?<=[.!?])\s+", line)]}

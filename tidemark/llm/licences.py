@@ -1,19 +1,24 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A text is read in four kinds of unit: the whole text, paragraphs (at blank lines), lines and sentences.
-Units and templates are normalised (lower case, words of letters and digits) and become multisets of
-word bigrams; Dice = 2 * common / (bigrams of both). As common <= the smaller, a template of b bigrams
-can reach t only for units of b * t / (2 - t) to b * (2 - t) / t bigrams: these size bounds prune
-templates before any bigram is compared. A template of one word pair or more is needed.
-
-Cases: null and empty texts match nothing; a unit counts once for each template it reaches; ties go to
-the longer template and then to the first name; very long texts are read unit by unit; repeated rows give
-repeated rows; an empty table gives an empty result; other columns, whatever their names, are not read.
+A text is normalised once (lower case, words of letters and digits) and cut wherever two words have more
+than blanks between them: at line ends, comment marks, full stops, commas, brackets. A unit is any run of
+words from one cut to another, so whole texts, paragraphs, lines and sentences, and notices wrapped over lines
+or set behind comment marks. Units and templates become multisets of word bigrams; Dice = 2 * common / (bigrams of
+both). As common <= the smaller, a template of b bigrams can reach t only for units of b * t / (2 - t) to
+b * (2 - t) / t bigrams that hold b * t / (2 - t) of its own: texts and starts without so many near each
+other are pruned before any unit is compared. A template of one word pair or more is needed.
+
+Cases: null and empty texts match nothing; a notice between words with blanks alone is no unit; of the units
+with one start the best counts, and of those that overlap the best again; ties go to the longer template and
+then to the first name; work grows with the text's length; repeated rows give repeated rows; an empty table
+gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -42,8 +47,7 @@ TEMPLATES = {
 }
 
 _WORD = re.compile(r"[^\W_]+")
-_PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_BLANKS = re.compile(r"[^\S\r\n]+")
 
 
 def bigrams(text: str) -> Counter[tuple[str, str]]:
@@ -51,52 +55,85 @@ def bigrams(text: str) -> Counter[tuple[str, str]]:
     return Counter(zip(words, words[1:], strict=False))
 
 
+def cuts(text: str) -> tuple[list[int], list[int]]:
+    """Of a text in lower case: the words that units begin with, and those that they end with."""
+    starts, ends, before = [], [], None
+    for k, m in enumerate(_WORD.finditer(text)):
+        if before is None or not _BLANKS.fullmatch(text, before, m.start()):
+            starts.append(k)
+            if k:
+                ends.append(k - 1)
+        before = m.end()
+    return starts, [*ends, k] if starts else ends
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
         self.own = []  # name, bigrams, how many, fewest and most of a unit that can match
+        self.of: dict[tuple[str, str], list[int]] = {}  # templates that a bigram is in
         for name, text in sorted(templates.items()):
             grams = bigrams(text)
             if n := grams.total():
-                self.own.append((name, grams, n, n * least / (2 - least), n * (2 - least) / least))
-        self.known = frozenset(w for _, grams, *_ in self.own for g in grams for w in g)
-        self.low = min((x[3] for x in self.own), default=1)
-        self.high = max((x[4] for x in self.own), default=0)
-
-    def unit(self, text: str) -> list[tuple[float, int, str]]:
-        """(Dice, template's size, name) of the templates that a unit reaches."""
-        words = _WORD.findall(text.lower())
-        n = len(words) - 1
-        if not self.low - 1e-9 <= n <= self.high + 1e-9 or self.known.isdisjoint(words):
-            return []
-        grams, out = Counter(zip(words, words[1:], strict=False)), []
-        for name, own, size, low, high in self.own:
-            if low - 1e-9 <= n <= high + 1e-9 and (dice := 2 * (own & grams).total() / (size + n)) >= self.least:
-                out.append((dice, size, name))
+                for g in grams:
+                    self.of.setdefault(g, []).append(len(self.own))
+                self.own.append((name, grams, n, math.ceil(n * least / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9)))
+
+    def units(self, k: int, places: list[tuple[int, tuple[str, str]]], starts: list[int], ends: list[int]) -> list[tuple[float, int, int]]:
+        """(Dice, first word, last word) of the best unit of each start that reaches a template; places: of its bigrams, in order."""
+        _, own, size, low, high = self.own[k]
+        out, at = [], [i for i, _ in places]
+        for a in starts:
+            first = bisect_left(at, a)
+            if first + low > len(at):
+                break
+            if at[first + low - 1] >= a + high:
+                continue
+            left, common, j, best = dict(own), 0, first, None
+            for e in range(bisect_left(ends, a + low), len(ends)):
+                n = ends[e] - a
+                if n > high:
+                    break
+                while j < len(at) and at[j] < ends[e]:
+                    g = places[j][1]
+                    if left[g]:
+                        left[g] -= 1
+                        common += 1
+                    j += 1
+                if (dice := 2 * common / (size + n)) >= self.least and (best is None or dice > best[0]):
+                    best = (dice, a, ends[e])
+            if best:
+                out.append(best)
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int]]:
-        """(name, best Dice, units that reach it), best first."""
+        """(name, best Dice, units that reach it without overlap), best first."""
         if not text:
             return []
-        most = int(60 * self.high) + 60  # characters: longer units are counted before they are read
-        units = {text: None} if len(text) <= most or len(_WORD.findall(text)) - 1 <= self.high else {}
-        for part in _PARAGRAPH.split(text):
-            units[part] = None
-            for line in part.split("\n"):
-                units[line] = None
-                for sentence in _SENTENCE.split(line):
-                    units[sentence] = None
-        best: dict[str, tuple[float, int, int]] = {}
-        for u in units:
-            for dice, size, name in self.unit(u):
-                old = best.get(name, (0.0, size, 0))
-                best[name] = (max(old[0], dice), size, old[2] + 1)
-        return [(name, d, n) for name, (d, size, n) in sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))]
+        text = text.lower()
+        words, of = _WORD.findall(text), self.of
+        places: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+        for i, g in [(i, g) for i, g in enumerate(zip(words, words[1:], strict=False)) if g in of]:
+            for k in of[g]:
+                places.setdefault(k, []).append((i, g))
+        found, edges = [], None
+        for k, at in places.items():
+            name, _, size, low, high = self.own[k]
+            if not any(b[0] - a[0] < high for a, b in zip(at, at[low - 1 :], strict=False)):
+                continue
+            edges = edges or cuts(text)
+            taken, best, n = bytearray(len(words)), 0.0, 0
+            for dice, a, b in sorted(self.units(k, at, *edges), key=lambda x: (-x[0], x[1])):
+                if taken.find(1, a, b + 1) < 0:
+                    taken[a : b + 1] = b"\1" * (b + 1 - a)
+                    best, n = max(best, dice), n + 1
+            if n:
+                found.append((-best, -size, name, n))
+        return [(name, -d, n) for d, _, name, n in sorted(found)]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, licence and dice of the best match (null without one), n_units that reach it, all licences found, for every row."""
+    """doc_id, licence and dice of the best match (null without one), n_units (passages) that reach it, all licences found, for every row."""
     prepare(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
 
