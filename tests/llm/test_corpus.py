@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import os
 import random
 import re
@@ -271,6 +272,19 @@ def test_collision_counts_reach_their_recall():
     assert lost <= 3
 
 
+def test_first_window_and_other_cosines(spark):
+    assert math.erfc(embeddings.FIRST / math.sqrt(2)) <= embeddings.MISSED
+    r, n = np.random.default_rng(1), 1_000
+    x = r.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal((n, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.901 * x + np.sqrt(1 - 0.901**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
+    got = embeddings.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.9).collect()
+    assert {r.vec_id: r.component_id for r in got if r.n_links} == {k: k % n for k in range(2 * n)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracles(spark, sf, name):
     con = duckdb.connect()

@@ -5,7 +5,7 @@ differ by at most the window, centred on the query of the two. For a pair at the
 that is known, so the count that such a pair reaches but for one in 1 / MISSED is too: pairs with that count
 or more are verified by cosine in double precision.
 
-The rows are sorted by the first projection, whose window is wider (all but 1 in 16,000 pairs at the
+The rows are sorted by the first projection, whose window is wider (all but 1 in 1,000,000 pairs at the
 threshold fall into it), and cut into tiles of about TILE classes; a tile's queries meet the tiles that
 their window reaches, each pair of tiles in one task, which sorts and counts the other projections in
 bytes. A tile is split evenly where many values are equal. Vectors equal in all components are one class
@@ -34,7 +34,7 @@ from tidemark.llm.components import components, roots
 COSINE = 0.95
 PROJECTIONS = 32
 #: Half-widths of the windows, in standard deviations of a projection's difference for a pair at the threshold.
-FIRST, OTHERS = 4.0, 2.6
+FIRST, OTHERS = 4.9, 2.6
 MISSED = 1e-6
 TILE = 4_096
 QUERIES = 128
@@ -67,9 +67,9 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def codes(values: np.ndarray, dim: int) -> tuple[np.ndarray, int]:
+def codes(values: np.ndarray, dim: int, cosine: float = COSINE) -> tuple[np.ndarray, int]:
     """Projections as bytes, and the window in them; clipping at the ends keeps collisions."""
-    window = OTHERS * spread(dim)
+    window = OTHERS * spread(dim, cosine)
     high = min(1.0, 4.5 / math.sqrt(dim))
     step = (2 * high + 2 * window) / 250
     width = math.ceil(window / step) + 1
@@ -146,7 +146,7 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
         dtype = np.float32 if len(rows[0][5]) == 4 * dim else np.float64
         x = unit(np.frombuffer(b"".join(r[5] for r in rows), dtype).reshape(n, dim))
         key, weight = np.array([r[3] for r in rows]), np.array([r[4] for r in rows], np.int64)
-        byte, width = codes(x @ directions(dim)[:, 1:], dim)
+        byte, width = codes(x @ directions(dim)[:, 1:], dim, cosine)
         cut = int((side == 0).sum())
         left, right = ((0, cut), (cut, n)) if cut < n else ((0, n), (0, n))
         columns = np.ascontiguousarray(byte[right[0] : right[1]].T)
