@@ -167,6 +167,16 @@ def test_jaccard_join(spark, docs, awkward, nothing, small, block, monkeypatch):
     assert jaccard.join(nothing).collect() == []
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 2])
+def test_jaccard_of_null_and_repeated_ids(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = near_copies(9, groups=6)
+    nameless = [(None if k % 3 else k, t) for k, t in rows]
+    for own in (nameless, [(None, t) for _, t in rows], nameless + nameless[::2], rows + rows[::3]):
+        got = jaccard.join(spark.createDataFrame(own, "doc_id long, text string")).select("doc_id", "class_id", "n_links")
+        assert sorted(map(tuple, got.collect()), key=repr) == plain_join(own)
+
+
 def test_one_of_each(docs, awkward, nothing):
     classes = {r.class_id for r in jaccard.join(docs).collect()}
     kept = jaccard.one_of_each(docs)

@@ -15,7 +15,8 @@ to BLOCK classes in one task, larger ones as blocks against blocks, so no task h
 Only verified pairs count as links and tie components.
 
 Cases: null, empty and blank texts have empty sets and link with nothing; repeated rows and equal texts are
-links of each other; ties do not arise (class_id is the smallest doc_id); very long texts are hashed whole;
+links of each other; ties do not arise (class_id is the smallest doc_id, null where a component has none; null ids
+link as others do); very long texts are hashed whole;
 an empty table gives an empty result; other columns, whatever their names, are carried by `one_of_each`.
 Sets are told apart by 64-bit hashes: two of N unequal sets fall together with a chance below N * N / 2 ** 65.
 """
@@ -245,11 +246,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (out := verified(held)) is not None:
                     yield out
                 held = []
-            held.append(row)
+            if not held or held[-1][3] != row[3]:  # repeated rows bring their class again
+                held.append(row)
     if held and (out := verified(held)) is not None:
         yield out
 
 
+def _keyed_sets():
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [shingles(t) for t in texts(batch, 0)]
+        return pa.RecordBatch.from_arrays([pa.array([key_of(x) if len(x) else None for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["key", "own"])
+
+    return f
+
+
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id and key of every row; key, rep, weight, n_links, class_id of every non-empty set)."""
     prepare(docs.sparkSession)
@@ -275,6 +285,10 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return f
 
     own = found.select("doc_id", "text", "key", "weight", "group", "blocks").mapInArrow(over_batches(own_sets), "key long, weight long, group long, blocks int, own binary")
+    nameless = member.filter("rep is null").drop("rep")  # classes without an id: met by key, one text of each
+    if nameless.limit(1).count():
+        sets_of = docs.filter("doc_id is null").select("text").mapInArrow(over_batches(_keyed_sets), "key long, own binary").filter("key is not null").dropDuplicates(["key"])
+        own = own.unionByName(sets_of.join(F.broadcast(nameless) if few else nameless, "key"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     own = own.withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")
