@@ -186,6 +186,18 @@ def test_one_of_each(docs, awkward, nothing):
     assert jaccard.one_of_each(nothing).collect() == []
 
 
+def test_one_of_each_goes_by_row(spark):
+    r = random.Random(12)
+    a, b, c, d = (" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(4))
+    near = lambda t: t + " more"
+    for rows, want in (
+        ([(0, near(a)), (1, a), (1, b)], [(0, near(a)), (1, b)]), ([(1, a), (1, b)], [(1, a), (1, b)]), ([(1, a), (1, a), (1, near(a)), (2, a)], [(1, a)]), ([(1, None), (1, ""), (1, a)], [(1, None), (1, ""), (1, a)]),
+        ([(None, c), (None, near(c)), (None, d)], [(None, c), (None, d)]), ([(5, near(c)), (None, c), (None, d)], [(5, near(c)), (None, d)]),
+    ):
+        got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_shingle_hashes_tell_sets_apart():
     r = random.Random(1)
     texts = [" ".join(r.choices(["a", "b", "ab", "ba", "é", "x1"], k=r.randint(0, 12))) for _ in range(2_000)]

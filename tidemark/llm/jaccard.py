@@ -28,8 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import over_batches, prepare, texts, written
 from tidemark.llm.components import components, roots
@@ -261,7 +262,7 @@ def _keyed_sets():
 
 
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id and key of every row; key, rep, weight, n_links, class_id of every non-empty set)."""
+    """(doc_id and key of every row; key, rep, weight, n_links, class_id, root of every non-empty set)."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = written(_sets(docs), "sets")
@@ -300,7 +301,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     flat = classes.select("key", "rep", "weight").join(root, "key", "left").join(degree, "key", "left")
     flat = written(flat.select("key", "rep", "weight", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "linked")
     least = flat.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return sets.select("doc_id", "key"), flat.join(least, "root").select("key", "rep", "weight", "n_links", "class_id")
+    return sets.select("doc_id", "key"), flat.join(least, "root").select("key", "rep", "weight", "n_links", "class_id", "root")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,17 +312,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs but those that link, directly or not, with one of smaller id. Rows of one id count as one document."""
-    own = written(join(docs, id_col, text_col), "classes")
+    """Of rows that link, directly or not, the one of smallest id (null last; of several the least by all columns); rows that link with none stay."""
+    rows, classes = classes_of(docs, id_col, text_col)
+    own = written(rows.join(classes.select("key", "class_id"), "key", "left").select("doc_id", "class_id"), "classes")
+    key = F.col(id_col).cast("long")
+    many = own.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    many = written(many, "repeated")
     gone = own.filter("doc_id <> class_id").select(F.col("doc_id").alias("__id"))
-    out = docs.join(F.broadcast(gone) if _small_enough(gone) else gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
-    if own.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        return _first_of_id(out, F.col(id_col))
-    return out
-
+    out = docs.join(F.broadcast(gone) if _small_enough(gone) else gone, key == F.col("__id"), "left_anti")
+    if not many.limit(1).count():
+        return out
+    # an id of several rows, or none, says nothing about a row: those are decided by their sets
+    few = F.broadcast(many) if _small_enough(many) else many
+    alone = out.filter(key.isNotNull()).join(few, key == F.col("__id"), "left_anti")
+    some = docs.join(few, key == F.col("__id"), "left_semi").unionByName(docs.filter(key.isNull()))
+    names = [f"`{c}`" for c in docs.columns]
+    some = some.select(F.struct(*names).alias("__row"), key.alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    some = written(some.mapInArrow(over_batches(_with_key), T.StructType([*some.schema.fields[:2], T.StructField("__key", T.LongType())])), "some")
+    one = some.filter("__key is not null").groupBy("__id", "__key").agg(F.min("__row").alias("__row"))
+    one = one.join(classes.select(F.col("key").alias("__key"), "class_id", "root"), "__key").filter(F.col("__id").eqNullSafe(F.col("class_id")))
+    one = one.groupBy("root").agg(F.min("__row").alias("__row")).select("__row").unionByName(some.filter("__key is null").select("__row"))
+    return alone.unionByName(one.select(*(F.col("__row")[c].alias(c) for c in docs.columns)))
+
+
+def _with_key():
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [shingles(t) for t in texts(batch, 2)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([key_of(x) if len(x) else None for x in own], pa.int64())], ["__row", "__id", "__key"])
 
-def _first_of_id(docs: DataFrame, key: Column) -> DataFrame:
-    """One row of each non-null id: the least of them by all columns."""
-    names = docs.columns
-    one = docs.filter(key.isNotNull()).groupBy(key.alias("__id")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in names))).alias("__row"))
-    return one.select(*(F.col("__row")[c].alias(c) for c in names)).unionByName(docs.filter(key.isNull()))
+    return f
