@@ -1,20 +1,22 @@
 """Personal data: fixed base patterns, and a semi-Markov conditional random field that adds spans they miss.
 
 Base spans (email, ip, card, phone) follow fixed patterns, leftmost and non-overlapping within a kind.
-Around what can make a disguised one (any digits, at signs, "(at)", "at" before a label and some dot) the
-text outside base spans is cut into tokens, and the random field scores segments of up to MOST_TOKENS tokens as wholes:
-digit counts, separators, check digits, whole-span shapes, both edges and the words before. Its weights
-are fitted by conditional log-likelihood (forward-backward over segments) on sentences written by rule
-from a fixed seed; a bounded-entity Viterbi pass chooses boundaries and kinds jointly. Added spans
-never overlap base spans.
+All text outside them is segmented by the random field. Its candidate segments, in fitting and in decoding,
+are runs of up to MOST_TOKENS tokens of a line that have the shape of an address (_MAIL, _QUAD), or that begin
+with a digit, plus or bracket, end with a digit and hold LEAST_DIGITS to MOST_DIGITS digits; every other token
+is outside. Segments are scored as wholes: digit counts, separators, check digits, whole-span shapes, both
+edges and the words before. The weights are fitted by conditional log-likelihood (forward-backward over
+segments) on sentences written by rule from a fixed seed; a bounded-entity Viterbi pass chooses boundaries and
+kinds jointly. A token in no candidate is outside in every segmentation, so the pass runs over the stretches
+that candidates cover and gives what it would over the whole text. Added spans never overlap base spans.
 
 Cases: null counts as empty; spans are in code points, end exclusive; very long texts are read whole, in
-time linear in their length; repeated rows give repeated rows; an empty table gives an empty result; other
-columns, whatever their names, are not read.
+time linear in their length; ties fall the same way in every run; rows give repeated rows; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from functools import lru_cache
@@ -29,7 +31,7 @@ from tidemark.llm.common import over_batches, prepare, texts
 KINDS = ("email", "ip", "card", "phone")
 #: An entity has at most so many tokens.
 MOST_TOKENS = 32
-AROUND = 48
+LEAST_DIGITS, MOST_DIGITS = 7, 19
 SEED = 5
 SENTENCES, EPOCHS, RATE, DECAY = 360, 12, 0.5, 1e-3
 
@@ -79,17 +81,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # The random field.
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[^\s]")
-_SIGN = r"\s*(?:[\[({<]\s?(?:at|AT|@)\s?[\])}>]|@)\s*"
-_DOT = r"(?:\s*[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s*|\s+(?:dot|DOT)\s+)"
+_AT = r"(?:at|At|AT)"
+_WORD_DOT = r"(?:dot|Dot|DOT)"
+_SIGN = rf"\s*(?:[\[({{<]\s?(?:{_AT}|@)\s?[\])}}>]|@)\s*"
+_DOT = rf"(?:\s*[\[({{<]\s?(?:{_WORD_DOT}|\.)\s?[\])}}>]\s*|\s+{_WORD_DOT}\s+|_{_WORD_DOT}_)"
 #: After a plain dot the last label is of one case and has a letter first: not "at 10.30", not "at home.Then".
 _LAST = r"(?:[a-z][a-z0-9-]+|[A-Z][A-Z0-9-]+)"
-_MAIL = re.compile(rf"[A-Za-z0-9._%+-]+?(?:\s+(?:at|AT)\s+[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*?(?:{_DOT}[A-Za-z][A-Za-z0-9-]*|\.{_LAST})|{_SIGN}[A-Za-z0-9-]+(?:(?:{_DOT}|\s+\.\s+|\.)[A-Za-z0-9-]+)*?(?:{_DOT}[A-Za-z][A-Za-z0-9-]*|(?:\s+\.\s+|\.){_LAST}))")
-_QUAD = re.compile(r"[0-9]{1,3}(?:(?:\s?\.\s?|\s?[\[(]\s?(?:\.|dot)\s?[\])]\s?)[0-9]{1,3}){3}")
+_MAIL = re.compile(rf"[A-Za-z0-9._%+-]+?(?:(?:\s+{_AT}\s+|_{_AT}_)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*?(?:{_DOT}[A-Za-z][A-Za-z0-9-]*|\.{_LAST})|{_SIGN}[A-Za-z0-9-]+(?:(?:{_DOT}|\s+\.\s+|\.)[A-Za-z0-9-]+)*?(?:{_DOT}[A-Za-z][A-Za-z0-9-]*|(?:\s+\.\s+|\.){_LAST}))")
+_QUAD = re.compile(rf"[0-9]{{1,3}}(?:(?:\s?\.\s?|\s?[\[(]\s?(?:\.|{_WORD_DOT})\s?[\])]\s?|\s{_WORD_DOT}\s|_{_WORD_DOT}_)[0-9]{{1,3}}){{3}}(?![0-9])")
+#: Where the sign of an address may stand.
+_SIGNS = re.compile(rf"\s*[\[({{<]\s?(?:{_AT}|@)\s?[\])}}>]|\s*@|\s+{_AT}\s|_{_AT}_")
+_DIGIT = re.compile(r"[0-9]")
+_QUAD_START = re.compile(r"(?<![0-9])[0-9]{1,3}(?=\s?\.|\s?[\[(]|\s[dD]|_[dD])")
 _GROUPED = re.compile(r"[0-9]{4}(?:[^0-9A-Za-z]{1,3}[0-9]{4}){2}[^0-9A-Za-z]{1,3}[0-9]{1,7}")
 _DIALLED = re.compile(r"(?:\+|00)?[0-9]{0,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ ./-]{1,2}[0-9]{2,4}){2,3}")
 _DATED = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}|[0-9]{1,2}:[0-9]{2}")
-#: What can make a segment an entity: any digits, an at sign or an at or dot in brackets, and the word "at" where a label and some dot follow.
-_TRIGGER = re.compile(r"[0-9]++(?:[^0-9A-Za-z\n]{1,3}[0-9]++)*+|@|[\[({<][^\S\n]?(?:at|AT|dot|DOT|\.)[^\S\n]?[\])}>]|(?<=[A-Za-z0-9._%+-])[^\S\n]++(?:at|AT)[^\S\n]++[A-Za-z0-9-]++(?:[^\S\n]++(?:dot|DOT)[^\S\n]|[^\S\n]*+[\[({<]|\.[A-Za-z0-9-])")
 _CUES = tuple(re.compile(rf"(?:{w})\W{{0,4}}\Z", re.I) for w in (r"e-?mail|mail|write to|contact", r"ip|host|server|address", r"card|visa|account|paid with", r"call|tel|phone|fax|mobile|ring"))
 N_FEATURES = 29
 
@@ -132,25 +138,76 @@ def features(text: str, a: int, b: int) -> np.ndarray:
     return x
 
 
+def _local_starts(text: str, at: int, low: int) -> list[int]:
+    """Where the local part before an address's sign at `at` may begin: its tokens' starts, nearest first."""
+    out, i = [], at
+    while i > low and len(out) < MOST_TOKENS and text[i - 1] in _LOCAL:
+        kind = 0 if text[i - 1].isalpha() else 1 if text[i - 1].isdigit() else 2
+        i -= 1
+        while kind < 2 and i > low and text[i - 1] in _LOCAL and (text[i - 1].isalpha() if kind == 0 else text[i - 1].isdigit()):
+            i -= 1
+        if kind < 2:
+            out.append(i)
+    return out
+
+
+def _of_line(text: str, low: int, high: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Edges of a line's tokens and its candidates (first token, token after the last); both empty for a line without one."""
+    mails = [s for m in _SIGNS.finditer(text, low, high) for s in _local_starts(text, m.start(), low) if _MAIL.match(text, s, high)]
+    quads = [m for d in _QUAD_START.finditer(text, low, high) if (m := _QUAD.match(text, d.start(), high))]
+    digits = len(_DIGIT.findall(text, low, high)) >= LEAST_DIGITS
+    if not (mails or quads or digits):
+        return [], []
+    edges = [m.start() for m in _TOKEN.finditer(text, low, high)] + [high]
+    place, found = {e: k for k, e in enumerate(edges)}, set()
+    for s in mails:
+        if (i := place.get(s)) is not None:
+            found |= {(i, j) for j in range(i + 2, min(len(edges), i + MOST_TOKENS + 1)) if text[edges[j] - 1].isalnum() and _MAIL.fullmatch(text, s, edges[j])}
+    for m in quads:
+        if (i := place.get(m.start())) is not None and (j := place.get(m.end())) is not None and j - i <= MOST_TOKENS:
+            found.add((i, j))
+    if digits:
+        size = [b - a if "0" <= text[a] <= "9" else 0 for a, b in zip(edges, edges[1:], strict=False)]
+        for i in [k for k, n in enumerate(size) if n or text[edges[k]] in "+("]:
+            n = 0
+            for j in range(i, min(len(size), i + MOST_TOKENS)):
+                n += size[j]
+                if n > MOST_DIGITS:
+                    break
+                if size[j] and n >= LEAST_DIGITS:
+                    found.add((i, j + 1))
+    return (edges, sorted(found)) if found else ([], [])
+
+
 def segments(text: str) -> tuple[list[int], list[tuple[int, int]]]:
-    """Token edges, and the candidate segments (first token, token after the last): those with a digit or an at sign or word, without a line end."""
-    edges = [m.start() for m in _TOKEN.finditer(text)] + [len(text)]
-    tokens = [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-    n, out = len(tokens), []
-    for i in range(n):
-        if tokens[i].isspace() or not (tokens[i][0].isalnum() or tokens[i] in "+("):
-            continue
-        good = False
-        for j in range(i, min(n, i + MOST_TOKENS)):
-            t = tokens[j]
-            if "\n" in t:
-                break
-            good |= t[0].isdigit() or t == "@" or t.lower() == "at"
-            if good and t[0].isalnum() and j > i:
-                out.append((i, j + 1))
-            elif good and j == i and len(t) >= 7:
-                out.append((i, j + 1))
-    return edges, out
+    """Token edges, and the candidate segments (first token, token after the last)."""
+    edges, out, low = [], [], 0
+    while low < len(text):
+        high = text.find("\n", low) + 1 or len(text)
+        own, found = _of_line(text, low, high)
+        out += [(len(edges) + i, len(edges) + j) for i, j in found]
+        edges += own[:-1] or [m.start() for m in _TOKEN.finditer(text, low, high)]
+        low = high
+    return [*edges, len(text)], out
+
+
+def regions(text: str, a: int, b: int) -> list[tuple[list[int], list[tuple[int, int]]]]:
+    """(edges, candidates) of each run of tokens in text[a:b] that candidates cover; every other token is outside."""
+    out, low = [], a
+    while low < b:
+        high = text.find("\n", low, b) + 1 or b
+        edges, found = _of_line(text, low, high)
+        k = 0
+        while k < len(found):
+            first, end = found[k]
+            last = k + 1
+            while last < len(found) and found[last][0] <= end:
+                end = max(end, found[last][1])
+                last += 1
+            out.append((edges[first : end + 1], [(i - first, j - first) for i, j in found[k:last]]))
+            k = last
+        low = high
+    return out
 
 
 class Field:
@@ -159,19 +216,23 @@ class Field:
     def __init__(self, weights: np.ndarray, moves: np.ndarray):
         self.weights, self.moves = weights, moves
 
-    def lattice(self, text: str) -> tuple[list[int], list[tuple[int, int]], np.ndarray, list[list[int]]]:
-        edges, segs = segments(text)
+    def lattice(self, text: str, edges: list[int], segs: list[tuple[int, int]]) -> tuple[np.ndarray, list[list[int]]]:
         f = np.array([features(text, edges[i], edges[j]) for i, j in segs]).reshape(-1, N_FEATURES)
         ending: list[list[int]] = [[] for _ in edges]
         for k, (_, j) in enumerate(segs):
             ending[j].append(k)
-        return edges, segs, f, ending
-
-    def decode(self, text: str) -> list[tuple[int, int, str]]:
-        """The best segmentation's entities, by dynamic programming over segments of bounded length."""
-        edges, segs, f, ending = self.lattice(text)
-        if not segs:
-            return []
+        return f, ending
+
+    def decode(self, text: str, a: int = 0, b: int | None = None) -> list[tuple[int, int, str]]:
+        """The best segmentation's entities in text[a:b], by dynamic programming over segments of bounded length."""
+        b = len(text) if b is None else b
+        found, own = [], text[a:b]  # what a base span holds is not seen
+        for edges, segs in regions(own, 0, len(own)):
+            found += [(a + x, a + y, kind) for x, y, kind in self._best(own, edges, segs)]
+        return found
+
+    def _best(self, text: str, edges: list[int], segs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+        f, ending = self.lattice(text, edges, segs)
         s, n, out = f @ self.weights, len(edges) - 1, len(KINDS)
         best = np.full((n + 1, out + 1), -np.inf)
         best[0, out] = 0
@@ -186,7 +247,9 @@ class Field:
                 for y in np.flatnonzero(come > best[j, :out]):
                     best[j, y] = come[y]
                     back[j, int(y)] = (i, int((best[i] + self.moves[:, y]).argmax()))
-        found, j, y = [], n, int(best[n].argmax())
+        found, j = [], n
+        last = best[n] + (self.moves[:, out] if edges[n] < len(text) else 0)  # the next token is outside
+        y = int(last.argmax())
         while j:
             i, before = back[j, y]
             if y < out:
@@ -194,11 +257,27 @@ class Field:
             j, y = i, before
         return found[::-1]
 
+    def score(self, text: str, entities: list[tuple[int, int, str]]) -> float:
+        """Of a segmentation of a whole text: entities must be candidates."""
+        edges, segs = segments(text)
+        place, label, total, i, out = {e: k for k, e in enumerate(edges)}, len(KINDS), 0.0, 0, len(KINDS)
+        begins = {place[a]: (place[b], KINDS.index(k)) for a, b, k in entities}
+        while i < len(edges) - 1:
+            j, y = begins.get(i, (i + 1, out))
+            if y < out:
+                if (i, j) not in segs:
+                    return -math.inf
+                total += float(features(text, edges[i], edges[j]) @ self.weights[:, y])
+            total += float(self.moves[label, y])
+            i, label = j, y
+        return total
+
     def step(self, text: str, truth: list[tuple[int, int, str]], rate: float) -> None:
         """One ascent step on the conditional log-likelihood of a sentence's true segmentation."""
-        edges, segs, f, ending = self.lattice(text)
+        edges, segs = segments(text)
         if not segs:
             return
+        f, ending = self.lattice(text, edges, segs)
         s, n, out = f @ self.weights, len(edges) - 1, len(KINDS)
         forward = np.full((n + 1, out + 1), -np.inf)
         forward[0, out] = 0
@@ -315,26 +394,9 @@ def stretches(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
     return [*out, (at, len(text))] if at < len(text) else out
 
 
-def parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """The parts of a stretch that are decoded: triggers and what is around them in their line; those that meet are one."""
-    out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text, a, b):
-        low, high = max(a, m.start() - AROUND, text.rfind("\n", a, m.start()) + 1), min(b, m.end() + AROUND)
-        while low < m.start() and low > a and text[low - 1].isalnum() and text[low].isalnum():
-            low += 1  # not in the middle of a word
-        while high > m.end() and high < b and text[high - 1].isalnum() and text[high].isalnum():
-            high -= 1
-        if (end := text.find("\n", m.end(), high)) >= 0:
-            high = end
-        if out and low <= out[-1][1]:
-            low = out.pop()[0]
-        out.append((low, high))
-    return out
-
-
 def added_spans(text: str, base: list[tuple[int, int, str]], field: Field) -> list[tuple[int, int, str]]:
-    """What the field finds around triggers in each stretch between base spans."""
-    return [(low + x, low + y, kind) for a, b in stretches(text, base) for low, high in parts(text, a, b) for x, y, kind in field.decode(text[low:high])]
+    """What the field finds in each stretch between base spans."""
+    return [x for a, b in stretches(text, base) for x in field.decode(text, a, b)]
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
