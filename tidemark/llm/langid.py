@@ -6,7 +6,8 @@ pieces of PIECE bytes so that a long text does not come to live on its own histo
 sizes names the language; the relative margin to the second smallest makes the score, and a margin under
 MARGIN is rejected (`rejected` is true; the smallest is still named).
 
-Cases: null texts and texts without a letter are `und` with score 0; ties go to the first language in
+Cases: null texts and texts without a letter (general category L: not digits, fractions or Roman numeral signs) are `und`
+with score 0; very long texts are encoded whole, piece by piece; ties go to the first language in
 code-point order; without a training row everything is `und`; repeated rows give repeated rows; an empty
 table gives an empty result; other columns, whatever their names, are not read.
 """
@@ -14,10 +15,10 @@ table gives an empty result; other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +35,11 @@ MARGIN = 0.01
 #: The margin at which the score is 0.88 (tanh 1 lies half-way between 0.5 and 1).
 SCALE = 0.05
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str) -> str:
-    """A text's words of letters in lower case, a space between them: case, digits and marks tell little of a language."""
+    """A text's words of letters and their combining marks in lower case, a space between them: case, digits and signs tell little of a language."""
     return _OTHER.sub(" ", text.lower())
 
 
@@ -93,7 +93,7 @@ class Classifier:
             self.encoders.append(zstandard.ZstdCompressor(dict_data=shared, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if text is None or not self.langs or not _LETTER.search(text):
+        if text is None or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         raw = letters(text).encode()
         sizes = [0] * len(self.langs)
