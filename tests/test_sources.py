@@ -91,6 +91,45 @@ def test_iceberg_prunes_partitions(spark, evolved):
     assert [r.id for r in iceberg.scan(spark, evolved, {"day": lambda d: d == "d2"}).collect()] == [3]
 
 
+def many_files(tmp_path, entry_schema_ids):
+    """100 files: of every four, one without the renamed and widened column's new name and type, and one without a new column."""
+    os.makedirs(tmp_path / "metadata")
+    os.makedirs(tmp_path / "data")
+    at, files, rows = f"file://{tmp_path}", [], []
+    for k in range(100):
+        day = f"d{k % 5}"
+        if k % 4 == 0:
+            t = with_ids(pa.table({"id": pa.array([k], pa.int64()), "value": pa.array([k], pa.int32()), "legacy": ["x"], "day": [day]}), (1, 2, 3, 5))
+            rows.append((k, k, None, day))
+        else:
+            t = with_ids(pa.table({"id": pa.array([k], pa.int64()), "amount": pa.array([k * 10**10], pa.int64()), "updated_at": pa.array([k], pa.int64()), "day": [day]}), (1, 2, 4, 5))
+            rows.append((k, k * 10**10, k, day))
+        pq.write_table(t, tmp_path / f"data/{k}.parquet")
+        files.append((k, day))
+    manifest = json.loads(json.dumps(MANIFEST))
+    if entry_schema_ids:
+        manifest["fields"].insert(1, {"name": "snapshot_id", "type": "long"})
+    avro(tmp_path / "metadata/m.avro", manifest, [{"status": 1, "snapshot_id": 6 if k % 4 == 0 else 7, "data_file": {"file_path": f"{at}/data/{k}.parquet", "partition": {"day": d}, "record_count": 1}} for k, d in files])
+    avro(tmp_path / "metadata/l.avro", LIST, [{"manifest_path": f"{at}/metadata/m.avro", "content": 0}])
+    field = lambda i, n, t: {"id": i, "name": n, "type": t, "required": False}
+    schemas = [{"schema-id": 0, "fields": [field(1, "id", "long"), field(2, "value", "int"), field(3, "legacy", "string"), field(5, "day", "string")]}, {"schema-id": 1, "fields": [field(1, "id", "long"), field(2, "amount", "long"), field(4, "updated_at", "long"), field(5, "day", "string")]}]
+    own = [{"schema-id": 0}, {"schema-id": 1}] if entry_schema_ids else [{}, {}]
+    meta = {"format-version": 2, "table-uuid": "u", "location": at, "current-schema-id": 1, "default-spec-id": 0, "current-snapshot-id": 7, "schemas": schemas, "partition-specs": [{"spec-id": 0, "fields": [{"source-id": 5, "field-id": 1000, "name": "day", "transform": "identity"}]}], "snapshots": [{"snapshot-id": 6} | own[0], {"snapshot-id": 7, "manifest-list": f"{at}/metadata/l.avro"} | own[1]]}
+    (tmp_path / "metadata/v1.metadata.json").write_text(json.dumps(meta))
+    return at, rows
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_iceberg_of_many_evolved_files(spark, tmp_path, named):
+    at, rows = many_files(tmp_path, named)
+    assert sorted(map(tuple, iceberg.scan(spark, at).collect())) == sorted(rows)
+    df = Engine(spark).query(f"select id, amount from iceberg_scan('{at}') as t where day = 'd3' and id > 10")
+    assert sorted(map(tuple, df.collect())) == sorted((i, a) for i, a, _, d in rows if d == "d3" and i > 10)
+    opened = {f.rsplit("/", 1)[1] for f in df.inputFiles()}
+    read = df._jdf.queryExecution().optimizedPlan().collectLeaves().toString()
+    assert {f"{i}.parquet" for i, _, _, d in rows if d == "d3"} <= opened and read.count("Relation") == 2
+
+
 def test_iceberg_metadata(spark, evolved):
     row = iceberg.metadata(spark, evolved).first()
     assert (row.table_uuid, row.format_version, row.data_files, row.records, row.partition_spec) == ("u-1", 2, 2, 3, "day")

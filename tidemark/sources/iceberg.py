@@ -1,7 +1,10 @@
 """Iceberg tables without a catalogue: metadata JSON and Avro manifests read on the driver, data files by Spark.
 
 Only metadata is touched on the driver: its size follows the number of data files, not of rows. Data files are
-read by Spark with their columns matched by field id, renamed and widened to the current schema.
+read by Spark, which matches their columns by field id file by file, and are renamed and widened to the current
+schema. Where a field's type has changed, files are first grouped by the schema that they were written with: the
+one their snapshot names, else the one in their footers. Identity partition columns become literals, so that
+Catalyst drops the files of other values from the plan whatever the query's filters look like.
 """
 
 from __future__ import annotations
@@ -11,9 +14,11 @@ import json
 import struct
 import zlib
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _KINDS = {"boolean": "boolean", "int": "int", "long": "bigint", "float": "float", "double": "double", "date": "date", "timestamp": "timestamp_ntz", "timestamptz": "timestamp", "string": "string", "uuid": "string", "binary": "binary"}
 
@@ -138,19 +143,21 @@ def _current(meta: dict) -> tuple[dict, dict | None, list[dict]]:
 
 
 def data_files(spark: SparkSession, path: str, meta: dict) -> list[dict]:
-    """Live data files of the current snapshot: path, partition values, record count."""
+    """Live data files of the current snapshot: path, partition values, record count, and the schema that their snapshot names."""
     _, snapshot, _ = _current(meta)
     if snapshot is None:
         return []
     here = lambda p: p if not meta.get("location") else p.replace(meta["location"].rstrip("/"), path.rstrip("/"), 1)
     manifests = avro_rows(_read(spark, here(snapshot["manifest-list"]))) if "manifest-list" in snapshot else [{"manifest_path": p} for p in snapshot["manifests"]]
+    written = {s["snapshot-id"]: s["schema-id"] for s in meta.get("snapshots", []) if "schema-id" in s}
     out = []
     for m in manifests:
         if m.get("content", 0) == 1:
             raise ValueError("row-level delete files are not supported")
         for e in avro_rows(_read(spark, here(m["manifest_path"]))):
             if e["status"] != 2:
-                out.append(e["data_file"] | {"file_path": here(e["data_file"]["file_path"])})
+                added = e.get("snapshot_id") or m.get("added_snapshot_id")
+                out.append(e["data_file"] | {"file_path": here(e["data_file"]["file_path"]), "schema_id": written.get(added)})
     return out
 
 
@@ -163,8 +170,44 @@ def pruned(files: list[dict], spec: list[dict], schema: dict, where: dict[str, C
     return [f for f in files if all(f.get("partition", {}).get(n) is None or t(f["partition"][n]) for n, t in tests)]
 
 
+#: Branches of a plan by partition value; values beyond are read together, without being dropped by the plan.
+MOST_BRANCHES = 400
+
+
+def _field_id(column) -> int | None:
+    own = column.metadata.get("parquet.field.id", column.metadata.get("PARQUET:field_id"))
+    return None if own is None else int(own)
+
+
+def _by_schema(spark: SparkSession, meta: dict, fields: list[dict], files: list[dict]) -> dict[tuple, list[dict]]:
+    """Files by the columns that they are read with: (field id or null, name, type) of each."""
+    schemas = {s["schema-id"]: s["fields"] for s in meta.get("schemas", []) if "schema-id" in s}
+    ever: dict[int, set[str]] = {}
+    for own in [*schemas.values(), fields]:
+        for f in own:
+            ever.setdefault(f["id"], set()).add(spark_kind(f["type"]))
+    settled = all(len(ever[f["id"]]) == 1 for f in fields)
+    groups: dict[tuple, list[dict]] = {}
+    todo: dict[int | None, list[dict]] = {}
+    for f in files:
+        todo.setdefault(None if settled else f["schema_id"] if f["schema_id"] in schemas else -1, []).append(f)
+    by_footer = []
+    for schema_id, some in todo.items():
+        first = spark.read.parquet(some[0]["file_path"]).schema
+        if schema_id == -1 or any(_field_id(c) is None for c in first):
+            by_footer += some
+            continue
+        of = fields if schema_id is None else schemas[schema_id]
+        groups.setdefault(tuple((f["id"], f["name"], spark_kind(f["type"])) for f in of), []).extend(some)
+    with ThreadPoolExecutor(16) as pool:  # one small read for each file
+        for f, own in zip(by_footer, pool.map(lambda f: spark.read.parquet(f["file_path"]).schema, by_footer), strict=True):
+            groups.setdefault(tuple((_field_id(c), c.name, c.dataType.simpleString()) for c in own), []).append(f)
+    return groups
+
+
 def scan(spark: SparkSession, path: str, where: dict[str, Callable] | None = None) -> DataFrame:
     """The current rows of a table; `where` tests identity partition values so that other files aren't opened."""
+    spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
     meta = table_metadata(spark, path)
     schema, _, spec = _current(meta)
     fields = schema["fields"]
@@ -172,25 +215,48 @@ def scan(spark: SparkSession, path: str, where: dict[str, Callable] | None = Non
     ddl = ", ".join(f"`{f['name']}` {spark_kind(f['type'])}" for f in fields)
     if not files:
         return spark.createDataFrame([], ddl)
-    groups: dict[tuple, list[str]] = {}
-    for f in files:
-        own = spark.read.parquet(f["file_path"]).schema if len(files) <= 64 else None
-        by_id = {x.metadata.get("parquet.field.id", x.metadata.get("PARQUET:field_id")): x.name for x in own} if own else {}
-        groups.setdefault(tuple(sorted((str(k), v) for k, v in by_id.items() if k is not None)) or tuple((None, x.name) for x in own or ()), []).append(f["file_path"])
     out = None
-    for ids, paths in groups.items():
-        df = spark.read.parquet(*paths)
-        by_id = {k: v for k, v in ids if k is not None}
-        names = [_old_name(meta, f, set(df.columns), by_id) for f in fields]
-        part = df.select(*((F.col(f"`{n}`") if n else F.lit(None)).cast(spark_kind(f["type"])).alias(f["name"]) for n, f in zip(names, fields, strict=True)))
-        out = part if out is None else out.unionByName(part)
+    for columns, some in _by_schema(spark, meta, fields, files).items():
+        for literals, paths in _branches(spec, fields, some).items():
+            part = _read_files(spark, meta, fields, columns, paths, dict(literals))
+            out = part if out is None else out.unionByName(part)
     return out
 
 
-def _old_name(meta: dict, field: dict, columns: set[str], by_id: dict[str, str]) -> str | None:
-    """The name in a file of the column with a field's id: by the file's ids, or by the names it had in any schema."""
-    if by_id:
-        return by_id.get(str(field["id"]))
+def _branches(spec: list[dict], fields: list[dict], files: list[dict]) -> dict[tuple, list[str]]:
+    """Paths by the values, as SQL, of identity partition columns."""
+    plain = {f["id"]: f for f in fields if f["type"] in ("string", "int", "long", "boolean", "date")}
+    own = [(p["name"], plain[p["source-id"]]) for p in spec if p["transform"] == "identity" and p["source-id"] in plain]
+    out: dict[tuple, list[str]] = {}
+    for f in files:
+        values = tuple((field["name"], _sql(f["partition"][n], field["type"])) for n, field in own if n in f.get("partition", {}))
+        out.setdefault(values if values in out or len(out) < MOST_BRANCHES else (), []).append(f["file_path"])
+    return out
+
+
+def _sql(value, kind: str) -> str:
+    if value is None:
+        return f"cast(null as {spark_kind(kind)})"
+    if kind == "string":
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"date_add(date '1970-01-01', {value})" if kind == "date" else f"cast({str(value).lower()} as {spark_kind(kind)})"
+
+
+def _read_files(spark: SparkSession, meta: dict, fields: list[dict], columns: tuple, paths: list[str], literals: dict[str, str]) -> DataFrame:
+    ids = any(i is not None for i, _, _ in columns)
+    read = T.StructType([T.StructField(name, T.StructType.fromDDL(f"`c` {kind}")[0].dataType, True, {"parquet.field.id": i} if i is not None else {}) for i, name, kind in columns])
+    df = spark.read.schema(read).parquet(*paths)
+    if ids:
+        by_id = {i: name for i, name, _ in columns if i is not None}
+        names = [by_id.get(f["id"]) for f in fields]
+    else:
+        names = [_old_name(meta, f, {name for _, name, _ in columns}) for f in fields]
+    value = lambda f, n: F.expr(literals[f["name"]]) if f["name"] in literals else F.col(f"`{n}`") if n else F.lit(None)
+    return df.select(*(value(f, n).cast(spark_kind(f["type"])).alias(f["name"]) for f, n in zip(fields, names, strict=True)))
+
+
+def _old_name(meta: dict, field: dict, columns: set[str]) -> str | None:
+    """The name in files without ids of a field's column: one that it had in any schema."""
     names = [f["name"] for s in [*meta.get("schemas", []), meta.get("schema") or {"fields": []}] for f in s["fields"] if f["id"] == field["id"]]
     return next((n for n in [field["name"], *names] if n in columns), None)
 
