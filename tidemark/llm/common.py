@@ -17,16 +17,18 @@ BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Executors get the package, and Arrow batches are kept small: a batch holds whole texts."""
+    """Executors get the package, and Arrow batches are kept small, as a batch holds whole texts: the session's maxRecordsPerBatch is lowered to BATCH_ROWS and stays so."""
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset and all tasks run in this process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -44,11 +46,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that operators have written so far; results that still read them must be stored before."""
-    while _tables:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+def marked() -> int:
+    """How many tables operators have written so far, for `release`."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables written since a mark, but the last `keep`; results that still read them must be stored before."""
+    end = len(_tables) - keep
+    for path in _tables[since:end]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if since < end:
+        del _tables[since:end]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

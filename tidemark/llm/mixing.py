@@ -8,8 +8,9 @@ A document comes out floor(rate) times, and once more if a uniform number hashed
 seed is below the fraction; rate = target / source size <= MOST, so no document exceeds MOST times its size.
 
 Cases: null text has no words and takes nothing; a null source is a source of its own; rows with equal
-ids draw the same number; sources without a word have target 0; an empty table gives an empty result;
-other columns, whatever their names, are carried by `mixed` and not read.
+ids draw the same number; sources without a word have target 0; sources of equal ratio go by their place; very long
+texts are counted whole; an empty table gives an empty result; other columns, whatever their names (those used
+inside too), are carried by `mixed` and not read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import unused, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -70,28 +71,33 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return by.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(own).alias("target"))
 
 
-def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """The rows of docs with __size, __source_size, __target and __copies."""
-    docs = docs.withColumns({"__source": F.col(source_col), "__size": words(F.col(text_col))})
-    sizes = docs.select(F.col("__source").alias("source"), F.col("__size").alias("size"))
-    of = written(targets(sizes), "targets").select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+def with_copies(docs: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """The rows of docs with four columns more: size, source size, target and copies, by the names given, which docs must not have."""
+    size, source_size, target, copies = names
+    own, of_source = unused(docs, "__source", "__of")
+    docs = docs.withColumns({own: F.col(f"`{source_col}`"), size: words(F.col(f"`{text_col}`"))})
+    sizes = docs.select(F.col(own).alias("source"), F.col(size).alias("size"))
+    of = written(targets(sizes), "targets").select(F.col("source").alias(of_source), F.col("source_size").alias(source_size), F.col("target").alias(target))
     few = of.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    out = docs.join(F.broadcast(of) if few else of, F.col("__source").eqNullSafe(F.col("__of"))).drop("__source", "__of")
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    out = docs.join(F.broadcast(of) if few else of, F.col(own).eqNullSafe(F.col(of_source))).drop(own, of_source)
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    return out.withColumn("__copies", (whole + F.when(uniform(F.col(id_col), seed) < rate - whole, 1).otherwise(0)).cast("int"))
+    return out.withColumn(copies, (whole + F.when(uniform(F.col(f"`{id_col}`"), seed) < rate - whole, 1).otherwise(0)).cast("int"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
-    out = with_copies(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
+    out = with_copies(own, ["size", "source_size", "target", "copies"])
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken."""
-    out = with_copies(docs, id_col, text_col, source_col)
-    return out.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = unused(docs, "__size", "__source_size", "__target", "__copies")
+    out = with_copies(docs, names, id_col, text_col, source_col)
+    copies = F.col(names[3])
+    return out.filter(copies > 0).withColumn(names[0], F.explode(F.sequence(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""
