@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large and small stars, every round a written table."""
+"""Connected components of an edge table by stars contracted in tasks and stepping pointers, every round a written table."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ from tidemark.llm.common import written
 
 #: Edges a task contracts at a time before the first round.
 CHUNK = 400_000
-MOST_ROUNDS = 60
+#: Rows (two numbers each) of a table that may be broadcast.
+MOST_BROADCAST = 500_000
+SALTS = 32
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,19 +59,38 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def spread_join(rows: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """rows joined with a written table of one row for each key, of which any may hold a large part of rows.
+
+    A small table is broadcast, once counted; beyond MOST_BROADCAST rows it is repeated for SALTS salts, so that
+    one key's rows meet it in as many tasks.
+    """
+    if small.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(small), on, how)
+    salt, (left,) = "salt", [c for c in rows.columns if c != on][:1] or [on]
+    while salt in {*rows.columns, *small.columns}:
+        salt += "_"
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(left), F.lit(SALTS)).cast("int"))
+    return dealt.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [on, salt], how).drop(salt)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """v, root: every vertex of edges (long columns a, b without nulls) with the smallest it can reach."""
-    now = written(edges.select("a", "b").mapInArrow(_contracted, "v long, p long").distinct(), "stars")
-    before = None
-    for _ in range(MOST_ROUNDS):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("v", "p").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return now.filter("v <> p").select("v", F.col("p").alias("root")).unionByName(now.select(F.col("p").alias("v"), F.col("p").alias("root")).distinct())
-        before = mark
-        both = now.unionByName(now.select(F.col("p").alias("v"), F.col("v").alias("p")))
-        low = both.groupBy("v").agg(F.min("p").alias("low")).select("v", F.least("v", "low").alias("low"))
-        large = both.join(low, "v").filter("p > v").select(F.col("p").alias("v"), F.col("low").alias("p")).distinct()
-        least = large.groupBy("v").agg(F.min("p").alias("low"))
-        small = large.join(least, "v").select(F.col("p").alias("v"), F.col("low").alias("p")).filter("v <> p").unionByName(least.select("v", F.col("low").alias("p")))
-        now = written(small.distinct(), "stars")
-    raise RuntimeError("components did not settle")
+    """v, root: every vertex of edges (long columns a, b without nulls) with the smallest it can reach.
+
+    Edges lead from a vertex to a smaller one. Each round, a vertex keeps its least parent, the other parents are
+    tied to that one, and a parent that has a parent of its own is passed over; rounds end when neither is left.
+    Rows are grouped by the child alone, of which a round has no more than contracted chunks, never by the parent,
+    which may be that of a third of all vertices.
+    """
+    now = edges.select("a", "b")
+    while True:
+        now = now.toDF("v", "p").mapInArrow(_contracted, "v long, p long")
+        least = written(now.groupBy("v").agg(F.min("p").alias("p"), F.collect_set("p").alias("all")), "least")
+        over = least.filter(F.size("all") > 1)
+        one = least.select("v", "p")
+        movers = written(one.join(one.select(F.col("p").alias("v")).distinct(), "v", "left_semi").select(F.col("v").alias("p"), F.col("p").alias("up")), "movers")
+        if movers.isEmpty() and over.isEmpty():
+            return one.withColumnRenamed("p", "root").unionByName(one.select(F.col("p").alias("v"), F.col("p").alias("root")).distinct())
+        stepped = spread_join(one, movers, "p", "left").select("v", F.coalesce("up", "p").alias("p"))
+        tied = over.select(F.explode("all").alias("v"), "p").filter("v <> p")
+        now = written(stepped.unionByName(tied), "steps")

@@ -17,7 +17,7 @@ Only verified pairs count as links and tie components.
 Cases: null, empty and blank texts have empty sets and link with nothing; repeated rows and equal texts are
 links of each other; ties do not arise (class_id is the smallest doc_id, null where a component has none; null ids
 link as others do); very long texts are hashed whole;
-an empty table gives an empty result; other columns, whatever their names, are carried by `one_of_each`.
+an empty table gives an empty result; other columns, whatever their names (those used inside too), are carried by `one_of_each`.
 Sets are told apart by 64-bit hashes: two of N unequal sets fall together with a chance below N * N / 2 ** 65.
 """
 
@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import over_batches, prepare, texts, written
-from tidemark.llm.components import components, roots
+from tidemark.llm.common import over_batches, prepare, texts, unused, written
+from tidemark.llm.components import components, roots, spread_join
 
 SHINGLE = 5
 THRESHOLD = (4, 5)
@@ -270,9 +270,9 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tied = written(candidates(classes), "tied")  # so that no task runs two Python steps at once
     group = components(tied).withColumnRenamed("v", "key").withColumnRenamed("root", "group")
     group = written(classes.select("key", "rep", "weight").join(group, "key"), "groups")  # without the nodes of paths
-    sizes = group.groupBy("group").count().filter("count > 1")
+    sizes = written(group.groupBy("group").count().filter("count > 1"), "sizes")
     few = _small_enough(group)
-    member = group.join(sizes, "group").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
+    member = spread_join(group, sizes, "group").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     member = written(member, "members")
     found = docs.join(F.broadcast(member) if few else member, docs["doc_id"] == member["rep"])
 
@@ -299,9 +299,12 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     degree = checked.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     root = components(checked.filter("b is not null").select("a", "b")).withColumnRenamed("v", "key")
     flat = classes.select("key", "rep", "weight").join(root, "key", "left").join(degree, "key", "left")
-    flat = written(flat.select("key", "rep", "weight", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "linked")
-    least = flat.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return sets.select("doc_id", "key"), flat.join(least, "root").select("key", "rep", "weight", "n_links", "class_id", "root")
+    flat = written(flat.select("key", "rep", "weight", "root", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "linked")
+    alone = flat.filter("root is null").select("key", "rep", "weight", "n_links", F.col("rep").alias("class_id"), F.col("key").alias("root"))
+    tied = flat.filter("root is not null")
+    least = written(tied.groupBy("root").agg(F.min("rep").alias("class_id")), "least")
+    tied = spread_join(tied, least, "root").select("key", "rep", "weight", "n_links", "class_id", "root")
+    return sets.select("doc_id", "key"), alone.unionByName(tied)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,16 +319,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows, classes = classes_of(docs, id_col, text_col)
     own = written(rows.join(classes.select("key", "class_id"), "key", "left").select("doc_id", "class_id"), "classes")
     key = F.col(id_col).cast("long")
-    many = own.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    id_ = unused(docs, "__id")[0]
+    many = own.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias(id_))
     many = written(many, "repeated")
-    gone = own.filter("doc_id <> class_id").select(F.col("doc_id").alias("__id"))
-    out = docs.join(F.broadcast(gone) if _small_enough(gone) else gone, key == F.col("__id"), "left_anti")
+    gone = own.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_))
+    out = docs.join(F.broadcast(gone) if _small_enough(gone) else gone, key == F.col(id_), "left_anti")
     if not many.limit(1).count():
         return out
     # an id of several rows, or none, says nothing about a row: those are decided by their sets
     few = F.broadcast(many) if _small_enough(many) else many
-    alone = out.filter(key.isNotNull()).join(few, key == F.col("__id"), "left_anti")
-    some = docs.join(few, key == F.col("__id"), "left_semi").unionByName(docs.filter(key.isNull()))
+    alone = out.filter(key.isNotNull()).join(few, key == F.col(id_), "left_anti")
+    some = docs.join(few, key == F.col(id_), "left_semi").unionByName(docs.filter(key.isNull()))
     names = [f"`{c}`" for c in docs.columns]
     some = some.select(F.struct(*names).alias("__row"), key.alias("__id"), F.col(text_col).cast("string").alias("__text"))
     some = written(some.mapInArrow(over_batches(_with_key), T.StructType([*some.schema.fields[:2], T.StructField("__key", T.LongType())])), "some")
@@ -341,3 +345,18 @@ def _with_key():
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([key_of(x) if len(x) else None for x in own], pa.int64())], ["__row", "__id", "__key"])
 
     return f
+
+
+#: Words are cut where str.split() cuts.
+ORACLE = r"""
+with recursive d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') as w from {docs}),
+s as (select distinct r, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) as g from d where len(w) > 0),
+n as (select r, count(*) as n from s group by r),
+c as (select a.r as a, b.r as b, count(*) as c from s a join s b on a.g = b.g and a.r < b.r group by a.r, b.r),
+p as (select a, b from c join n x on x.r = a join n y on y.r = b where 5 * c >= 4 * (x.n + y.n - c)),
+e as (select a, b from p union all select b, a from p),
+reached(a, b) as (select a, b from e union select reached.a, e.b from reached join e on reached.b = e.a),
+m as (select a, min(o.doc_id) as least from reached join d o on o.r = reached.b group by a),
+k as (select a, count(*) as n from e group by a)
+select d.doc_id, case when m.least is null then d.doc_id when d.doc_id is null then m.least else least(d.doc_id, m.least) end as class_id, coalesce(k.n, 0) as n_links from d left join m on m.a = d.r left join k on k.a = d.r
+"""

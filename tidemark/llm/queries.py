@@ -68,4 +68,4 @@ select v.vec_id, (select count(*) from p where p.a = v.vec_id) as n_links, least
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": EMBEDDING_SQL, "op7_mix": mixing.ORACLE.format(docs="documents"), "op10_line_dedup": lines.ORACLE.format(docs="documents")}
+    return {"op2_embedding_near_dedup": EMBEDDING_SQL, "op7_mix": mixing.ORACLE.format(docs="documents"), "op9_ngram_jaccard": jaccard.ORACLE.replace("{docs}", "documents"), "op10_line_dedup": lines.ORACLE.format(docs="documents")}
