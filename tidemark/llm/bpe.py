@@ -3,11 +3,15 @@
 A text of up to `chunk_chars` code points is one chunk. A longer one is cut into chunks that
 overlap, the chunks are dealt to all tasks and pre-tokenised there, and each text's chunks are
 stitched where both neighbours have a pre-token boundary at the same place: from a common
-boundary on, both read the same characters and so agree. The pieces are encoded after that;
+boundary on, both read the same characters and so agree. Where they have none, the text is read on from
+the last certain boundary until it meets one of a chunk, so a text is read twice at most. The stitched pieces
+are dealt out again in blocks of about `chunk_chars` code points, encoded there, and a text's ids are joined;
 decoding concatenates the tokens' raw bytes.
 
-Cases: null and empty texts have no tokens; repeated rows give repeated rows; an empty table
-gives an empty result; other columns of the input, whatever their names, are not read.
+Cases: null and empty texts have no tokens; repeated rows give repeated rows; very long texts and very long
+unbroken runs take time in proportion to their length (a pre-token, however long, is encoded as one); ties between
+pairs of one rank go to the leftmost; an empty table gives an empty result; other columns of the input,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -134,22 +138,47 @@ def cut(text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> li
     return [(s, text[s : s + chunk]) for s in range(0, last, step)]
 
 
-def stitch(encoder: Encoder, chunks: list[tuple[int, str]], starts: list[list[int]]) -> list[str]:
-    """The pre-tokens of the whole text from chunks in order and the places where each chunk's own begin."""
-    text, true = chunks[0][1], list(starts[0])
-    for (at, part), own in zip(chunks[1:], starts[1:], strict=True):
-        text += part[len(text) - at :]
+def stitch(encoder: Encoder, chunks: list[tuple[int, str]], starts: list[list[int]]) -> tuple[str, list[int]]:
+    """The whole text, and where its pre-tokens begin, from chunks in order and the places where each chunk's own begin."""
+    ends = [at + len(part) for at, part in chunks]
+    text = "".join([chunks[0][1], *(part[end - at :] for end, (at, part) in zip(ends, chunks[1:], strict=False))])
+    true, k = list(starts[0]), 1
+    while k < len(chunks):
+        at, own = chunks[k][0], starts[k]
         del true[max(1, len(true) - MARGIN) :]
         places = {p: i for i, p in enumerate(own)}
-        k = len(true) - 1
-        while k > 0 and true[k] >= at and true[k] not in places:
-            k -= 1
-        if true[k] in places:  # from a common boundary on, this chunk's are right
-            true[k:] = own[places[true[k]] :]
-        else:  # none: read on from the last boundary that is certain
-            true[-1:] = encoder.starts(text[true[-1] :], true[-1])
-    true.append(len(text))
-    return [text[a:b] for a, b in zip(true, true[1:], strict=False)]
+        j = len(true) - 1
+        while j > 0 and true[j] >= at and true[j] not in places:
+            j -= 1
+        if true[j] in places:  # from a common boundary on, this chunk's are right
+            true[j:] = own[places[true[j]] :]
+            k += 1
+            continue
+        last, trusted = len(chunks) - 1, places if k == len(chunks) - 1 else dict.fromkeys(own[:-MARGIN])
+        for m in encoder.pattern.finditer(text, true.pop()):  # none: read on from the last boundary that is certain
+            here = m.start()
+            while k < last and here >= ends[k]:
+                k += 1
+                places = {p: i for i, p in enumerate(starts[k])}
+                trusted = places if k == last else dict.fromkeys(starts[k][:-MARGIN])
+            if here in trusted:
+                true += starts[k][places[here] :]
+                break
+            true.append(here)
+        else:
+            break
+        k += 1
+    return text, true
+
+
+def blocks(text: str, starts: list[int], size: int) -> list[tuple[str, list[int]]]:
+    """The text from pre-token to pre-token in blocks of at least `size` code points (the last may be shorter), and the pieces' lengths."""
+    out, first, edges = [], 0, [*starts, len(text)]
+    for k in range(1, len(edges)):
+        if edges[k] - edges[first] >= size or k == len(edges) - 1:
+            out.append((text[edges[first] : edges[k]], [b - a for a, b in zip(edges[first:k], edges[first + 1 : k + 1], strict=True)]))
+            first = k
+    return out
 
 
 _made: dict[object, Encoder] = {}
@@ -208,14 +237,38 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         copies = places.count(0)  # rows alike meet in one group
         chunk, starts = rows.column("chunk"), rows.column("starts")
         order = sorted({at: i for i, at in enumerate(places)}.items())
-        pieces = stitch(own, [(at, chunk[i].as_py()) for at, i in order], [np.frombuffer(starts[i].as_py(), "<i8").tolist() for _, i in order])
-        ids = own.encode(pieces)
+        text, true = stitch(own, [(at, chunk[i].as_py()) for at, i in order], [np.frombuffer(starts[i].as_py(), "<i8").tolist() for _, i in order])
+        cuts = blocks(text, true, chunk_chars)
+        n = len(cuts)
+        return pa.table({
+            "doc_id": pa.array([key[0].as_py()] * n, pa.int64()), "text_hash": pa.array([key[1].as_py()] * n, pa.int64()), "copies": pa.array([copies] * n, pa.int64()), "at": pa.array(range(n), pa.int64()),
+            "block": pa.array([t for t, _ in cuts], pa.string()), "sizes": pa.array([np.array(x, "<u4").tobytes() for _, x in cuts], pa.binary()),
+        })
+
+    def encoded():
+        own = _encoder(shared, pattern)
+
+        def ids_of(block: str, sizes: bytes) -> bytes:
+            ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+            return own.encode([block[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [ids_of(t, x) for t, x in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], ["doc_id", "text_hash", "copies", "at", "ids"])
+
+        return f
+
+    def joined(key: tuple, rows: pa.Table) -> pa.Table:
+        own, at, parts = _encoder(shared, pattern), rows.column("at").to_numpy(), rows.column("ids")
+        ids, copies = b"".join([parts[int(i)].as_py() for i in np.argsort(at)]), rows.column("copies")[0].as_py()
         return pa.table({"doc_id": pa.array([key[0].as_py()] * copies, pa.int64()), "n_tokens": pa.array([len(ids) // 4] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary()), "decoded": pa.array([own.decode(ids)] * copies, pa.binary())})
 
     short = docs.filter(~long).mapInArrow(over_batches(whole), SCHEMA)
     cuts = docs.filter(long).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(split, "doc_id long, text_hash long, at long, chunk string")
     marked = cuts.repartition(F.col("doc_id"), F.col("at")).mapInArrow(over_batches(pre_tokenised), "doc_id long, text_hash long, at long, chunk string, starts binary")
-    return short.unionByName(marked.groupBy(*keys).applyInArrow(stitched, SCHEMA))
+    pieces = marked.groupBy(*keys).applyInArrow(stitched, "doc_id long, text_hash long, copies long, at long, block string, sizes binary")
+    own = pieces.repartition(F.col("text_hash"), F.col("at")).mapInArrow(over_batches(encoded), "doc_id long, text_hash long, copies long, at long, ids binary")
+    return short.unionByName(own.groupBy(*keys).applyInArrow(joined, SCHEMA))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
