@@ -214,7 +214,7 @@ JSON = {
     "jsonb_concat": {2: ("pg_jsonb_concat({0}, {1})", "json")},
     "jsonb_contains": {2: ("pg_jsonb_contains({0}, {1})", "bool")}, "jsonb_contained": {2: ("pg_jsonb_contains({1}, {0})", "bool")},
     "jsonb_delete": {2: ("pg_jsonb_delete({0}, cast({1} as string))", "json")}, "jsonb_delete_path": {2: ("pg_jsonb_delete_path({0}, {1})", "json")},
-    "jsonb_populate_record_valid": {2: ("true", "bool")},
+    "jsonb_populate_record_valid": {2: (lambda a: _populates(*a), "bool")},
 }
 
 _NORM = "sqrt(aggregate({0}, 0D, (s, x) -> s + x * x))"
@@ -233,6 +233,46 @@ VECTOR = {
     "subvector": {3: ("slice({0}, {1}, {2})", "=")}, "vector_concat": {2: ("concat({0}, {1})", "=")},
 }
 
+#: Names of the types that pg_catalog.pg_type lists.
+TYPE_NAMES = {"bool": "boolean", "int2": "smallint", "int4": "integer", "int8": "bigint", "float4": "real", "float8": "double precision", "timestamp": "timestamp without time zone", "timestamptz": "timestamp with time zone", "time": "time without time zone"}
+
+
+def oid(name: str) -> int:
+    """A number for a name, the same in every session."""
+    out = 16384
+    for c in name:
+        out = (out * 31 + ord(c)) % 2_000_000_000
+    return out
+
+
+def _format_type(number: str) -> str:
+    base = ["bool", "bytea", "int2", "int4", "int8", "text", "float4", "float8", "numeric", "date", "time", "timestamp", "timestamptz", "interval", "json", "jsonb", "uuid", "vector"]
+    known = {oid(t): TYPE_NAMES.get(t, t) for t in base} | {oid(k): v for k, v in (("int", "integer"), ("bigint", "bigint"), ("smallint", "smallint"), ("double", "double precision"), ("float", "real"))}
+    return f"case {number} {' '.join(f'when {k} then {v!r}' for k, v in known.items())} else '???' end"
+
+
+def _members(struct: str) -> list[str]:
+    """Names of a struct type's fields."""
+    out, depth, name = [], 0, ""
+    for c in struct[7:-1] + ",":
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append(name.split(":")[0].strip(" `"))
+            name = ""
+        else:
+            name += c
+    return out
+
+
+def _populates(base: str, text: str) -> str:
+    """Whether JSON text is an object whose members can be cast to the base's type."""
+    m = re.fullmatch(r"cast\(.* as (struct<.*>)\)", base, re.S)
+    if not m:
+        return f"(try_parse_json({text}) is not null)"
+    kind, names = m[1].replace("'", "\\'"), ", ".join("'" + n.replace("'", "\\'") + "'" for n in _members(m[1]))
+    return f"coalesce(try_parse_json({text}) is not null and forall(map_entries(from_json({text}, 'map<string,string>')), e -> e.value is null or not array_contains(array({names}), e.key) or array_contains(json_object_keys(to_json(from_json({text}, '{kind}'))), e.key)), false)"
+
+
 SYSTEM = {
     **_const("version", "'PostgreSQL 18.0 compatible (tidemark on Spark)'", "text"),
     **_const("current_database current_catalog", "current_catalog()", "text"), **_const("current_schema", "current_database()", "text"),
@@ -242,15 +282,15 @@ SYSTEM = {
     "pg_column_size": {1: ("octet_length(cast({0} as string))", "int")},
     **_const("pg_relation_size pg_total_relation_size", "0L", "bigint"),
     "pg_size_pretty": {1: ("case when abs({0}) < 10240 then concat({0}, ' bytes') when abs({0}) < 10485760 then concat(round({0} / 1024D)::bigint, ' kB') when abs({0}) < 10737418240 then concat(round({0} / 1048576D)::bigint, ' MB') when abs({0}) < 10995116277760 then concat(round({0} / 1073741824D)::bigint, ' GB') else concat(round({0} / 1099511627776D)::bigint, ' TB') end", "text")},
-    **_const("pg_get_userbyid", "'postgres'", "text"), **_const("format_type", "'unknown'", "text"),
+    **_const("pg_get_userbyid", "'postgres'", "text"), "format_type": {2: (lambda a: _format_type(a[0]), "text")}, "pg_get_expr": {2: ("{0}", "text"), 3: ("{0}", "text")},
     **_const("has_table_privilege has_column_privilege has_schema_privilege pg_table_is_visible pg_type_is_visible", "true", "bool"),
-    **_const("pg_get_expr obj_description col_description shobj_description float8_combine float8_regr_combine pg_column_compression", "cast(null as string)", "text"),
+    **_const("obj_description col_description shobj_description float8_combine float8_regr_combine pg_column_compression", "cast(null as string)", "text"),
     "pg_lsn": {1: ("{0}", "text")},
     **{n: {"*": (lambda a: a[-1], "text")} for n in ("to_tsvector", "json_to_tsvector", "jsonb_to_tsvector", "tsquery")}, "ts_headline": {"*": (lambda a: a[0], "text")},
     **_const("gen_random_uuid uuid_generate_v4", "uuid()", "text"), **_const("uuid_nil", "'00000000-0000-0000-0000-000000000000'", "text"),
     **_const("uuid_generate_v1 uuid_generate_v1mc", "pg_uuid1()", "text"),
     "uuid_generate_v5": {2: ("pg_uuid5({0}, {1})", "text")},
-    "gen_random_bytes": {1: ("unhex(substring(concat(replace(uuid(), '-', ''), replace(uuid(), '-', ''), replace(uuid(), '-', '')), 1, 2 * {0}))", "bytea")},
+    "gen_random_bytes": {1: ("element_at(transform(array(concat(uuid(), uuid())), u -> unhex(substring(array_join(transform(sequence(0, cast(({0} - 1) div 32 as int)), i -> sha2(concat(u, cast(i as string)), 256)), ''), 1, 2 * {0}))), 1)", "bytea")},
     "point": {2: ("named_struct('x', cast({0} as double), 'y', cast({1} as double))", "record")},
     **{n: {2: ("named_struct('lower', {0}, 'upper', {1}, 'lower_inc', true, 'upper_inc', false)", "range"), 3: ("named_struct('lower', {0}, 'upper', {1}, 'lower_inc', {2} like '[%', 'upper_inc', {2} like '%]')", "range")} for n in ("int4range", "int8range", "float8range", "numrange", "textrange")},
 }

@@ -8,6 +8,8 @@ import urllib.request
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import binary
+
 
 def parquet_scan(spark: SparkSession, path: str) -> DataFrame:
     """A file, or all files of a folder and the folders in it."""
@@ -61,7 +63,9 @@ def _schema(spark: SparkSession, rows: list[dict]) -> str:
 
 
 def copy_from(spark: SparkSession, path: str, columns: dict[str, str], options: dict[str, str]) -> DataFrame:
-    """COPY FROM a file in text or csv format."""
+    """COPY FROM a file in text, csv or binary format."""
+    if options.get("format", "text") == "binary":
+        return binary.copy_from(spark, path, columns)
     csv = options.get("format", "text") == "csv"
     reader = spark.read.schema(", ".join(f"`{c}` {k}" for c, k in columns.items())).option("mode", "FAILFAST")
     reader = reader.option("sep", options.get("delimiter", "," if csv else "\t")).option("header", options.get("header", "false"))
@@ -72,7 +76,9 @@ def copy_from(spark: SparkSession, path: str, columns: dict[str, str], options:
 
 
 def copy_to(df: DataFrame, path: str, options: dict[str, str]) -> None:
-    """COPY TO a folder of files in text or csv format."""
+    """COPY TO a folder of files in text, csv or binary format."""
+    if options.get("format", "text") == "binary":
+        return binary.copy_to(df, path)
     csv = options.get("format", "text") == "csv"
     writer = df.write.mode("overwrite").option("sep", options.get("delimiter", "," if csv else "\t")).option("header", options.get("header", "false"))
     writer = writer.option("nullValue", options.get("null", "" if csv else "\\N")).option("emptyValue", '""' if csv else "")
