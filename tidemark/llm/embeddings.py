@@ -1,26 +1,32 @@
-"""Embedding near-dedup by collision counting over one-dimensional projections.
+"""Embedding near-dedup by collision counting over sorted one-dimensional projections.
 
 Unit vectors are projected on fixed random directions. A pair collides in a projection if its values
 differ by at most the window, centred on the query of the two. For a pair at the threshold the chance of
 that is known, so the count that such a pair reaches but for one in 1 / MISSED is too: pairs with that count
-or more are verified by cosine in double precision.
+or more are verified by cosine in double precision. Window, count and number of projections are chosen for
+the cosine asked for, so that few other pairs reach the count.
 
-The rows are sorted by the first projection, whose window is wider (all but 1 in 1,000,000 pairs at the
+The rows are sorted by a first projection, whose window is wider (all but 1 in 1,000,000 pairs at the
 threshold fall into it), and cut into tiles of about TILE classes; a tile's queries meet the tiles that
-their window reaches, each pair of tiles in one task, which sorts and counts the other projections in
-bytes. A tile is split evenly where many values are equal. Vectors equal in all components are one class
+their window reaches, each pair of tiles in one task. There every other projection of a tile is sorted. What
+lies in a query's window is a run of that order, and as a set of rows the difference of two prefixes of it, kept as
+bits for every STEP-th place (windows are rounded outwards to those). The sets of all projections are added up
+by carry-save adders, 64 pairs a word, so counting takes a few bit operations for each pair and projection.
+A tile is split evenly where many values are equal. Vectors equal in all components are one class
 throughout. Work grows with the pairs inside the first window, a constant share of all pairs where
 vectors have no direction in common.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
-components of their own; vectors of different lengths don't link; repeated rows are links of each other;
-an empty table gives an empty result; other columns, whatever their names, are not read.
+components of their own; vectors of different lengths don't link; repeated rows are links of each other; ties do not
+arise; a null id is never the smallest; an empty table gives an empty result; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +38,20 @@ from tidemark.llm.common import over_batches, prepare, written
 from tidemark.llm.components import components, roots
 
 COSINE = 0.95
-PROJECTIONS = 32
-#: Half-widths of the windows, in standard deviations of a projection's difference for a pair at the threshold.
-FIRST, OTHERS = 4.9, 2.6
+#: Numbers of projections to choose from, and the share of unrelated pairs that may reach the count.
+PROJECTIONS = (16, 24, 32, 40, 48, 56)
+CHANCE = 1e-3
+#: Half-width of the first window, in standard deviations of a projection's difference for a pair at the threshold.
+FIRST = 4.9
 MISSED = 1e-6
 TILE = 4_096
 QUERIES = 128
+STEP = 16
 
 
 def directions(dim: int, seed: int = 3) -> np.ndarray:
-    """(dim, 1 + PROJECTIONS) unit columns; the first sorts."""
-    x = np.random.default_rng((seed, dim)).standard_normal((dim, 1 + PROJECTIONS))
+    """(dim, 1 + PROJECTIONS[-1]) unit columns; the first sorts."""
+    x = np.random.default_rng((seed, dim)).standard_normal((dim, 1 + PROJECTIONS[-1]))
     return x / np.linalg.norm(x, axis=0)
 
 
@@ -51,14 +60,29 @@ def spread(dim: int, cosine: float = COSINE) -> float:
     return math.sqrt(2 * (1 - cosine) / dim)
 
 
-def least_count(missed: float = MISSED) -> int:
-    """Collisions that a pair at the threshold reaches but for a share of `missed`."""
-    p, below = math.erf(OTHERS / math.sqrt(2)), 0.0
-    for k in range(PROJECTIONS + 1):
-        below += math.comb(PROJECTIONS, k) * p**k * (1 - p) ** (PROJECTIONS - k)
+def least_count(projections: int, window: float, missed: float = MISSED) -> int:
+    """Collisions in windows of so many deviations that a pair at the threshold reaches but for a share of `missed`."""
+    p, below = math.erf(window / math.sqrt(2)), 0.0
+    for k in range(projections + 1):
+        below += math.comb(projections, k) * p**k * (1 - p) ** (projections - k)
         if below > missed:
             return k
-    return PROJECTIONS
+    return projections
+
+
+@lru_cache(64)
+def calibrated(cosine: float = COSINE, missed: float = MISSED) -> tuple[int, float, int]:
+    """(projections, half-width in deviations, least count): the fewest projections with which CHANCE of unrelated pairs or less reach the count, or the best of the most."""
+    best = None
+    for n in PROJECTIONS:
+        for window in (k / 20 for k in range(30, 100)):
+            least, q = least_count(n, window, missed), math.erf(window * math.sqrt((1 - cosine) / 2))
+            chance = sum(math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(least, n + 1))
+            if best is None or (n, chance) < (best[1], best[0]) or n > best[1] and chance < best[0]:
+                best = (chance, n, window, least)
+        if best[0] <= CHANCE:
+            break
+    return best[1:]
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -67,13 +91,62 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def codes(values: np.ndarray, dim: int, cosine: float = COSINE) -> tuple[np.ndarray, int]:
-    """Projections as bytes, and the window in them; clipping at the ends keeps collisions."""
-    window = OTHERS * spread(dim, cosine)
-    high = min(1.0, 4.5 / math.sqrt(dim))
-    step = (2 * high + 2 * window) / 250
-    width = math.ceil(window / step) + 1
-    return np.clip(np.rint((values + high) / step), 0, 255 - 2 * width).astype(np.uint8), width
+class Windows:
+    """The sorted projections of a tile, and for queries the rows inside their windows as bits."""
+
+    def __init__(self, values: np.ndarray):
+        n, k = values.shape
+        self.bytes, marks = -(-n // 64) * 8, -(-n // STEP)
+        self.sorted, self.prefix = [], []
+        for column in values.T:
+            order = np.argsort(column, kind="stable")
+            self.sorted.append(column[order])
+            order = np.concatenate([order, np.full(marks * STEP - n, -1)]).reshape(marks, STEP)
+            bits, row = np.zeros((marks + 1, self.bytes), np.uint8), np.arange(1, marks + 1)
+            for i in order.T:  # a row of bits has one of these at a time
+                real = i >= 0
+                bits[row[real], i[real] >> 3] |= (1 << (i[real] & 7)).astype(np.uint8)
+            self.prefix.append(np.bitwise_xor.accumulate(bits.view(np.uint64), axis=0))
+
+    def edges(self, queries: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """(projections, queries): the marks before and after each query's window, centred on it."""
+        low = [np.searchsorted(s, q - half, "left") // STEP for s, q in zip(self.sorted, queries.T, strict=True)]
+        high = [-(-np.searchsorted(s, q + half, "right") // STEP) for s, q in zip(self.sorted, queries.T, strict=True)]
+        return np.array(low), np.array(high)
+
+    def reached(self, low: np.ndarray, high: np.ndarray, least: int) -> np.ndarray:
+        """(queries, words) bits: the rows that are in `least` windows or more of a query."""
+
+        def window(k: int) -> np.ndarray:
+            out = self.prefix[k][high[k]]
+            out ^= self.prefix[k][low[k]]
+            return out
+
+        def added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Sum and carry of three bits."""
+            u = a ^ b
+            carry = a & b
+            carry |= u & c
+            u ^= c
+            return u, carry
+
+        shape = (low.shape[1], self.bytes // 8)
+        start = 64 - least  # so that the count overflows six bits when it is reached
+        planes = [np.full(shape, (1 << 64) - 1 if start >> k & 1 else 0, np.uint64) for k in range(6)]
+        over = np.zeros(shape, np.uint64)
+        for k in range(0, len(low), 8):  # numbers of projections are multiples of 8
+            w = [window(k + j) for j in range(8)]
+            ones, a = added(planes[0], w[0], w[1])
+            ones, b = added(ones, w[2], w[3])
+            twos, c = added(planes[1], a, b)
+            ones, a = added(ones, w[4], w[5])
+            planes[0], b = added(ones, w[6], w[7])
+            planes[1], d = added(twos, a, b)
+            planes[2], carry = added(planes[2], c, d)
+            for j in range(3, 6):
+                planes[j], carry = planes[j] ^ carry, planes[j] & carry
+            over |= carry
+        return over
 
 
 def _vectors(table: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
@@ -136,7 +209,7 @@ def tiles(classes: DataFrame, n: int, window: float, tile: int = TILE) -> tuple[
 
 def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
     """Rows (unit, dim, right, key, weight, vec) in order of unit to (a, b, links): a's other vectors, and edges that tie."""
-    least = least_count()
+    projections, window, least = calibrated(cosine)
 
     def counted(rows: list[tuple]) -> pa.RecordBatch | None:
         side = np.array([r[2] for r in rows])
@@ -146,20 +219,18 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
         dtype = np.float32 if len(rows[0][5]) == 4 * dim else np.float64
         x = unit(np.frombuffer(b"".join(r[5] for r in rows), dtype).reshape(n, dim))
         key, weight = np.array([r[3] for r in rows]), np.array([r[4] for r in rows], np.int64)
-        byte, width = codes(x @ directions(dim)[:, 1:], dim, cosine)
+        values = x @ directions(dim)[:, 1 : 1 + projections]
         cut = int((side == 0).sum())
         left, right = ((0, cut), (cut, n)) if cut < n else ((0, n), (0, n))
-        columns = np.ascontiguousarray(byte[right[0] : right[1]].T)
+        windows = Windows(values[right[0] : right[1]])
+        low, high = windows.edges(values[left[0] : left[1]], window * spread(dim, cosine) + 1e-12)
         pairs = []
         for a in range(left[0], left[1], QUERIES):
-            b = min(left[1], a + QUERIES)
-            query = byte[a:b].T + np.uint8(width)  # no wrap: codes end 2 * width below 255
-            begin = a if left == right else 0
-            count = np.zeros((b - a, columns.shape[1] - begin), np.uint8)
-            for k in range(PROJECTIONS):
-                count += (query[k][:, None] - columns[k, begin:][None, :]) <= 2 * width
-            i, j = np.nonzero(count >= least)
-            i, j = i + a, j + right[0] + begin
+            some = slice(a - left[0], min(left[1], a + QUERIES) - left[0])
+            bits = windows.reached(low[:, some], high[:, some], least)
+            has = np.flatnonzero(bits.any(axis=1))
+            i, j = np.nonzero(np.unpackbits(bits[has].view(np.uint8), axis=1, bitorder="little"))
+            i, j = has[i] + a, j + right[0]
             if left == right:
                 later = j > i
                 i, j = i[later], j[later]
