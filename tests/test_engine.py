@@ -210,3 +210,23 @@ def test_update_from_several_relations(e):
     e.sql("create table t (k int, v int); create table a (k int, b int); create table b (id int, w int); insert into t values (1, 0), (2, 0); insert into a values (1, 7), (2, 8); insert into b values (7, 70), (9, 90)")
     assert rows(e, "update t set v = b.w from a, b where t.k = a.k and a.b = b.id returning t.k, t.v") == [(1, 70)]
     assert rows(e, "delete from t using a join b on a.b = b.id where t.k = a.k returning k") == [(1,)]
+
+
+def test_statements_rewrite_only_files_that_hold_hits(spark):
+    e = Engine(spark)
+    e.sql("create table t (k bigint, v bigint)")
+    for a in (0, 100, 200):
+        e.sql(f"insert into t select i, i from generate_series({a}, {a + 9}) as g(i)")
+
+    def kept(sql):
+        before = {f for f in e.rows("t").inputFiles()}
+        e.sql(sql)
+        return len(before & set(e.rows("t").inputFiles())) / len(before)
+
+    assert kept("update t set v = v + 1 where k = 105") >= 2 / 3
+    assert kept("delete from t where k = 3") > 0
+    assert kept("update t set v = s.x from (select 204 as k, 7 as x) as s where t.k = s.k") > 0
+    assert kept("merge into t using (select 5 as k union all select 900) as s on t.k = s.k when matched then update set v = 0 when not matched then insert (k, v) values (s.k, 1)") > 0
+    assert kept("merge into t using (select 6 as k) as s on t.k = s.k when matched then delete") > 0
+    want = {i: i for a in (0, 100, 200) for i in range(a, a + 10)} | {105: 106, 204: 7, 5: 0, 900: 1}
+    assert dict(map(tuple, e.query("select k, v from t").collect())) == {k: v for k, v in want.items() if k not in (3, 6)}

@@ -179,9 +179,24 @@ def test_cdc_repeated_batch_is_skipped(spark):
     replica = cdc.Replica(spark.createDataFrame([(1, 1)], "k long, v long"), ["k"])
     change = spark.createDataFrame([("update", 1, 1, 5)], replica.change_schema())
     replica.apply(change, 0)
-    path = replica.path
+    files = replica.files
     replica.apply(change, 0)
-    assert replica.path == path and replica.table().first().v == 5
+    assert replica.files == files and replica.table().first().v == 5
+
+
+def test_cdc_goes_on_after_a_restart_and_rewrites_reached_files_only(spark, tmp_path):
+    home = f"file://{tmp_path}/home"
+    start = spark.range(100).selectExpr("id as k", "id * 2 as v").repartitionByRange(4, "k")
+    replica = cdc.Replica(start, ["k"], home)
+    before = set(replica.files)
+    replica.apply(spark.createDataFrame([("update", 1, 3, 0), ("delete", 2, 4, None), ("insert", 3, 1000, 1)], replica.change_schema()), 0)
+    assert len(before & set(replica.files)) == 3
+    again = cdc.Replica(start, ["k"], home)  # as a new driver would
+    assert again.last_batch == 0 and again.files == replica.files
+    again.apply(spark.createDataFrame([("delete", 1, 5, None)], replica.change_schema()), 0)
+    again.apply(spark.createDataFrame([("truncate", 4, None, None), ("insert", 5, 7, 7)], replica.change_schema()), 1)
+    assert sorted(map(tuple, replica.table().collect())) == sorted([(k, 0 if k == 3 else 2 * k) for k in range(100) if k != 4] + [(1000, 1)])
+    assert sorted(map(tuple, cdc.Replica(start, ["k"], home).table().collect())) == [(7, 7)]
 
 
 def test_event_windows_on_a_stream(spark, sf, tmp_path):

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.recursive import stored
+
 
 @dataclass
 class Clause:
@@ -27,6 +29,13 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def hits(table: DataFrame, alias: str, where: str | None, source: DataFrame | None = None, source_alias: str = "s") -> DataFrame:
+    """The rows that a condition, with or without a source, reaches."""
+    if source is None:
+        return table.alias(alias).filter(where or "true")
+    return table.alias(alias).join(source.alias(source_alias), F.expr(where or "true"), "left_semi")
+
+
 def update(table: DataFrame, alias: str, sets: dict[str, str], where: str | None, source: DataFrame | None = None, source_alias: str = "s") -> DataFrame:
     """Rows of the next version with __changed: true for those that the update reached. With a source, a row changes by one of the source rows that it meets."""
     if source is None:
@@ -72,7 +81,8 @@ def insert_on_conflict(table: DataFrame, new: DataFrame, keys: list[str], sets:
 def merge(table: DataFrame, alias: str, source: DataFrame, source_alias: str, on: str, clauses: list[Clause]) -> DataFrame:
     """Next version with __action (update, insert, delete or null); deleted rows are still in it. Fails if a row would change twice."""
     left, right = _numbered(table, "__rid"), _numbered(source, "__sid")
-    both = left.alias(alias).join(right.alias(source_alias), F.expr(on), "full_outer")
+    how = "full_outer" if any(c.kind == "missing" and c.action == "insert" for c in clauses) else "left"
+    both = left.alias(alias).join(right.alias(source_alias), F.expr(on), how)
     state = F.when(F.col("__rid").isNull(), "missing").when(F.col("__sid").isNull(), "extra").otherwise("matched")
     both = both.withColumn("__state", state)
     place: Column = F.lit(None).cast("int")
@@ -91,9 +101,9 @@ def merge(table: DataFrame, alias: str, source: DataFrame, source_alias: str, on
         columns.append(value.alias(c))
     action = F.element_at(F.array(*(F.lit(c.action if c.action != "nothing" else None) for c in clauses)), F.col("__place") + 1)
     out = both.select(*columns, "__rid", F.when(F.col("__place").isNotNull(), action).alias("__action"), "__state")
-    out = out.filter("__state <> 'missing' or __action = 'insert'")
-    new = out.filter("__rid is null").drop("__rid", "__state")
-    old = out.filter("__rid is not null").groupBy("__rid").agg(
+    out = stored(out.filter("__state <> 'missing' or __action = 'insert'"), "merged")  # the join is read twice
+    new = out.filter("__state <> 'matched'").drop("__rid", "__state")
+    old = out.filter("__state = 'matched'").groupBy("__rid").agg(
         F.count_if(F.col("__action").isin("update", "delete")).alias("__n"),
         F.max_by(F.struct(*table.columns, "__action"), F.when(F.col("__action").isNotNull(), 1).otherwise(0)).alias("r"),
     )

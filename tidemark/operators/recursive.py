@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import itertools
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again."""
-    return _stored_at(df, name)[0]
+    return stored_at(df, name)[0]
 
 
-def _stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, read again, and its path."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at), at
 
 
+def plain(path: str) -> str:
+    """A file's name as Spark's listings and its metadata column both can be compared: local paths with three slashes."""
+    return re.sub(r"^file:/+", "file:///", path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -59,12 +66,12 @@ class Rounds:
         self.spark, self.runs = spark, []  # (how often merged, table, path)
 
     def add(self, df: DataFrame) -> DataFrame:
-        table, at = _stored_at(df, "round")
+        table, at = stored_at(df, "round")
         if not table.isEmpty():
             self.runs.append((0, table, at))
             while len(self.runs) >= MERGED and len({n for n, *_ in self.runs[-MERGED:]}) == 1:
                 last = self.runs[-MERGED:]
-                one, path = _stored_at(_union([t for _, t, _ in last]).coalesce(last[0][1].rdd.getNumPartitions() or 1), "rounds")
+                one, path = stored_at(_union([t for _, t, _ in last]).coalesce(last[0][1].rdd.getNumPartitions() or 1), "rounds")
                 self.runs[-MERGED:] = [(last[0][0] + 1, one, path)]
                 for _, t, p in last:
                     if t is not table:  # the last round is still read
