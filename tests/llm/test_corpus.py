@@ -82,17 +82,19 @@ def plain_lines(texts, least):
     return out
 
 
-@pytest.mark.parametrize("most", [lines.MOST_BROADCAST, 0])
-def test_line_dedup(spark, docs, awkward, nothing, most, monkeypatch):
+@pytest.mark.parametrize("bits, shard, most", [(lines.CHUNK_BITS, lines.SHARD_ROWS, lines.MOST_BROADCAST), (3, 20, 0)])
+def test_line_dedup(spark, docs, awkward, nothing, bits, shard, most, monkeypatch):
     monkeypatch.setattr(lines, "MOST_BROADCAST", most)
-    monkeypatch.setattr(lines.probe, "__defaults__", ("text", lines.MIN_DOCS, most))
+    monkeypatch.setattr(lines, "COUNTED", 40 if most == 0 else lines.COUNTED)
+    monkeypatch.setattr(lines, "CHUNK_BITS", bits)
+    monkeypatch.setattr(lines, "SHARD_ROWS", shard)
     r = random.Random(0)
     pool = ["Same line", " same LINE\t", "É x", "é x", "", " \x0b", "other", *(f"line {k}" for k in range(40))]
     made = spark.createDataFrame([(k, "\n".join(r.choices(pool, k=r.randint(1, 9)))) for k in range(300)], "doc_id long, text string")
     for t, least in ((made, 10), (made, 60), (docs, 10), (awkward, 2), (awkward, 10)):
         rows = t.select("doc_id", "text").collect()
         want = sorted(((x.doc_id, *p) for x, p in zip(rows, plain_lines([x.text or "" for x in rows], least), strict=True)), key=repr)
-        out = lines.probe(t.select("doc_id", "text"), "text", least, most).select("doc_id", "__n_lines", "__n_dropped", "__kept")
+        out = lines.line_dedup(t, min_docs=least).select("doc_id", "n_lines", "n_dropped", "kept")
         assert sorted(map(tuple, out.collect()), key=repr) == want
     assert lines.line_dedup(nothing).collect() == []
     own = lines.without_repeated_lines(awkward)
@@ -101,10 +103,10 @@ def test_line_dedup(spark, docs, awkward, nothing, most, monkeypatch):
 
 def test_perfect_hash():
     keys = np.random.default_rng(0).integers(0, 2**64, 50_000, np.uint64)
-    built = lines.PerfectHash.build(keys)
+    built = lines.PerfectHash(keys)
     assert sorted(built.index(keys)) == list(range(len(keys)))
-    assert sum(map(len, built.levels)) < 5 * len(keys)
-    own = lines.Shard.unpacked(**lines.Shard.packed(keys, keys[::-1].copy(), np.arange(50_000)))
+    assert sum(x.nbytes for x in (*built.levels, *built.ranks)) < len(keys)  # under 8 bits a key
+    own = lines.Shard(keys, keys[::-1].copy(), np.arange(50_000))
     assert (own.count(keys, keys[::-1]) == np.arange(50_000)).all()
     assert not own.count(keys, np.random.default_rng(1).integers(0, 2**64, 50_000, np.uint64)).any()
 
@@ -279,32 +281,52 @@ def test_embeddings_of_table(spark, sf):
     assert embeddings.near_dedup(t.limit(0)).collect() == []
 
 
-def test_collision_counts_reach_their_recall():
-    r, dim, lost = np.random.default_rng(0), 64, 0
-    d, least, n = embeddings.directions(dim), embeddings.least_count(), 3_000
+def pairs_at(r, n, dim, cosine):
+    """n unit vectors, and one at the cosine to each."""
     x = r.standard_normal((n, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = r.standard_normal((n, dim))
     y -= (x * y).sum(axis=1, keepdims=True) * x
-    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    a, width = embeddings.codes(x @ d[:, 1:], dim)
-    b, _ = embeddings.codes(y @ d[:, 1:], dim)
-    count = (np.abs(a.astype(int) - b.astype(int)) <= width).sum(axis=1)
-    lost = (count < least).sum() + (np.abs(x @ d[:, 0] - y @ d[:, 0]) > embeddings.FIRST * embeddings.spread(dim)).sum()
+    return x, cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("cosine", [0.7, 0.9, 0.95])
+def test_collision_counts_reach_their_recall(cosine):
+    dim, n = 64, 3_000
+    d, (projections, window, least) = embeddings.directions(dim), embeddings.calibrated(cosine)
+    x, y = pairs_at(np.random.default_rng(0), n, dim, cosine)
+    half = window * embeddings.spread(dim, cosine)
+    count = (np.abs(x @ d - y @ d)[:, 1 : 1 + projections] <= half).sum(axis=1)
+    lost = (count < least).sum() + (np.abs(x @ d[:, 0] - y @ d[:, 0]) > embeddings.FIRST * embeddings.spread(dim, cosine)).sum()
     assert lost <= 3
 
 
+def test_window_counts_match_plain_counts():
+    r = np.random.default_rng(3)
+    for n, k in ((1, 16), (63, 16), (64, 24), (300, 24), (1_000, 32)):
+        values, queries = r.standard_normal((n, k)), r.standard_normal((70, k))
+        values[: n // 3, 0] = 0.5  # ties
+        own = embeddings.Windows(values)
+        low, high = own.edges(queries, 0.4)
+        for least in (1, 3, k // 4, k):
+            bits = np.unpackbits(own.reached(low, high, least).view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
+            plain = (np.abs(values[None] - queries[:, None]) <= 0.4).sum(axis=2) >= least
+            assert (bits | ~plain).all()  # windows are rounded outwards only
+            inside = np.zeros((70, n), int)
+            for j in range(k):
+                rank = np.empty(n, int)
+                rank[np.argsort(values[:, j], kind="stable")] = np.arange(n)
+                inside += (rank[None] >= low[j][:, None] * embeddings.STEP) & (rank[None] < high[j][:, None] * embeddings.STEP)
+            assert (bits == (inside >= least)).all()
+
+
 def test_first_window_and_other_cosines(spark):
     assert math.erfc(embeddings.FIRST / math.sqrt(2)) <= embeddings.MISSED
-    r, n = np.random.default_rng(1), 1_000
-    x = r.standard_normal((n, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = r.standard_normal((n, 64))
-    y -= (x * y).sum(axis=1, keepdims=True) * x
-    y = 0.901 * x + np.sqrt(1 - 0.901**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
-    got = embeddings.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.9).collect()
-    assert {r.vec_id: r.component_id for r in got if r.n_links} == {k: k % n for k in range(2 * n)}
+    n = 1_000
+    for cosine, own in ((0.7, 0.701), (0.9, 0.901), (0.95, 0.951)):
+        rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate(pairs_at(np.random.default_rng(1), n, 64, own)))]
+        got = embeddings.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=cosine).collect()
+        assert {r.vec_id: r.component_id for r in got if r.n_links} == {k: k % n for k in range(2 * n)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

@@ -1,23 +1,26 @@
-"""Line dedup: a sharded minimal perfect hash over the distinct hashes of frequent lines, probed by documents.
+"""Line dedup: a sharded minimal perfect hash over the distinct line hashes indexes fingerprints and counts; documents probe it.
 
-Lines are hashed to 128 bits; the documents that hold each are counted, pre-aggregated in every task.
-The hashes found in at least `min_docs` documents are dealt to shards of about SHARD_KEYS keys; a task
-builds each shard's minimal perfect hash (levels of bits in which a key that has a place of its own
-settles), with a 64-bit fingerprint and a count at each key's index. Documents probe those arrays: a
-line is dropped where the fingerprint at its place in its shard agrees and the count is high enough.
+Rows are numbered, and 2 ** CHUNK_BITS of them are a chunk. Lines are hashed to 128 bits; a chunk hands on each of its
+distinct hashes once, with the number of its rows that hold it, to the shard of the hash, and keeps where
+they stand. A shard is one task's work: it builds the minimal perfect hash of its distinct hashes (levels of bits
+in which a key that has a place of its own settles), with a 64-bit fingerprint and a count at each key's index,
+and answers the chunks there: a hash is frequent where the fingerprint at its index agrees and the count is high
+enough. The answers meet what the chunks kept, which gives the lines that each row loses; rows that lose none
+are copied. Texts pass Python once, to be hashed. The way is the same at every size; what rows lose is broadcast
+up to MOST_BROADCAST lines, once counted, and hashed to the rows' partitions beyond.
 
-Shards up to MOST_BROADCAST bytes together are broadcast one by one, so the driver holds one at a
-time and a worker's arrays are bounded. Beyond that, documents' distinct hashes are joined with the
-table of frequent ones; both ways give the same rows.
+A line found in a third of all documents makes one row for each chunk in its shard, so 2 ** CHUNK_BITS times fewer
+than documents. A task holds one shard's rows, about SHARD_ROWS, or COUNTED lines of a chunk.
 
 Cases: null or empty text is one empty line, which is never dropped; a line twice in a document counts
-once; repeated rows count as documents of their own; an empty table gives an empty result; other
-columns, whatever their names, are carried by `without_repeated_lines`.
+once; repeated rows count as documents of their own; ties do not arise; very long texts are split and joined
+whole; an empty table gives an empty result; other columns, whatever their names (those used inside too), are
+carried by `probe` and `without_repeated_lines`.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +28,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.common import over_batches, prepare, written
+from tidemark.llm.common import prepare, unused, written
 
 MIN_DOCS = 10
-SHARD_KEYS = 20_000
-#: Bytes of all shards together that may be broadcast; a key takes about 13.
-MOST_BROADCAST = 32 << 20
-KEY_BYTES = 13
-#: Hashes that a task counts before it hands them on.
+#: Rows of a chunk: 2 ** CHUNK_BITS.
+CHUNK_BITS = 13
+#: Rows (chunk and hash) of a shard, about.
+SHARD_ROWS = 200_000
+#: Lines that a task counts before it hands them on.
 COUNTED = 200_000
+#: Lost lines (4 bytes each, and about 40 for a row that has some), up to which they are broadcast.
+MOST_BROADCAST = 500_000
 _STRIP = b" \t\n\x0b\x0c\r"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -46,15 +50,6 @@ def keys(text: str) -> list[bytes]:
     return [line.strip(_STRIP).lower() for line in text.encode().split(b"\n")]
 
 
-def hashes(lines: list[bytes]) -> np.ndarray:
-    """(n, 2) unsigned 64-bit: place and fingerprint."""
-    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), ">u8").reshape(-1, 2).astype(np.uint64)
-
-
-def shard_of(place: np.ndarray, shards: int) -> np.ndarray:
-    return ((place >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-
-
 def _spread(keys: np.ndarray, level: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (keys ^ (np.uint64(level + 1) * _MIX)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -65,55 +60,62 @@ def _spread(keys: np.ndarray, level: int) -> np.ndarray:
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys: at each level a key with a place of its own settles."""
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
-        self.ranks, total = [], 0
-        for bits in levels:
-            self.ranks.append(np.cumsum(bits, dtype=np.int64) - bits + total)
-            total += int(bits.sum())
-        self.size = total
-
-    @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, left = [], keys
+    #: Bits of a block whose rank is stored.
+    BLOCK = 512
+
+    def __init__(self, keys: np.ndarray):
+        self.levels, self.widths, self.ranks, self.size = [], [], [], 0
+        left = keys
         while len(left):
-            if len(levels) > 200:
+            if len(self.levels) > 200:
                 raise ValueError("keys are not distinct")
-            at = _spread(left, len(levels)) % np.uint64(2 * len(left))
-            taken = np.bincount(at.astype(np.int64), minlength=2 * len(left))
-            levels.append((taken == 1).astype(np.uint8))
-            left = left[taken[at.astype(np.int64)] > 1]
-        return cls(levels)
+            width = 2 * len(left)
+            at = (_spread(left, len(self.levels)) % np.uint64(width)).astype(np.int64)
+            taken = np.bincount(at, minlength=width)
+            bits = np.zeros(-(-width // self.BLOCK) * self.BLOCK, np.uint8)
+            bits[:width] = taken == 1
+            each = bits.reshape(-1, self.BLOCK).sum(axis=1, dtype=np.int64)
+            self.levels.append(np.packbits(bits))
+            self.widths.append(width)
+            self.ranks.append(np.cumsum(each) - each + self.size)
+            self.size += int(each.sum())
+            left = left[taken[at] > 1]
 
     def index(self, keys: np.ndarray) -> np.ndarray:
         """The index of each key; -1 for some keys that are not in the set, any index for the others."""
         out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for level, bits in enumerate(self.levels):
-            at = (_spread(keys[left], level) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[at] == 1
-            out[left[hit]] = self.ranks[level][at[hit]]
+        for level, (packed, width, ranks) in enumerate(zip(self.levels, self.widths, self.ranks, strict=True)):
+            at = (_spread(keys[left], level) % np.uint64(width)).astype(np.int64)
+            hit = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            out[left[hit]] = ranks[at[hit] // self.BLOCK] + self._before(packed, at[hit])
             left = left[~hit]
         return out
 
+    def _before(self, packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Set bits of each one's block in front of it."""
+        step, out = self.BLOCK // 8, np.empty(len(at), np.int64)
+        for a in range(0, len(at), 65_536):
+            some = at[a : a + 65_536]
+            block = _ONES[packed.reshape(-1, step)[some // self.BLOCK]].cumsum(axis=1, dtype=np.int64)
+            byte = (some % self.BLOCK) >> 3
+            row = np.arange(len(some))
+            inside = _ONES[packed[some >> 3] >> (8 - (some & 7)).astype(np.uint8)]
+            out[a : a + 65_536] = np.where(byte > 0, block[row, byte - 1], 0) + np.where(some & 7 > 0, inside, 0)
+        return out
 
-class Shard:
-    """A perfect hash with the fingerprint and the count of the key at each index."""
 
-    def __init__(self, levels: list[np.ndarray], prints: np.ndarray, counts: np.ndarray):
-        self.hash, self.prints, self.counts = PerfectHash(levels), prints, counts
+_ONES = np.array([k.bit_count() for k in range(256)], np.uint8)
 
-    @staticmethod
-    def packed(place: np.ndarray, prints: np.ndarray, counts: np.ndarray) -> dict[str, list]:
-        """The arrays of a shard as bytes. Keys equal in place but not in print keep one index each by the print."""
-        built = PerfectHash.build(mixed := place ^ _spread(prints, 99))
-        at = built.index(mixed)
-        p, c = np.empty(len(at), np.uint64), np.empty(len(at), np.uint32)
-        p[at], c[at] = prints, np.minimum(counts, 2**32 - 1)
-        return {"levels": [np.packbits(b).tobytes() for b in built.levels], "widths": [len(b) for b in built.levels], "prints": p.tobytes(), "counts": c.tobytes()}
 
-    @classmethod
-    def unpacked(cls, levels: list[bytes], widths: list[int], prints: bytes, counts: bytes) -> Shard:
-        return cls([np.unpackbits(np.frombuffer(b, np.uint8), count=w) for b, w in zip(levels, widths, strict=True)], np.frombuffer(prints, np.uint64), np.frombuffer(counts, np.uint32))
+class Shard:
+    """A perfect hash of distinct (place, print) keys, with the fingerprint and the count of the key at each index."""
+
+    def __init__(self, place: np.ndarray, prints: np.ndarray, counts: np.ndarray):
+        mixed = place ^ _spread(prints, 99)
+        self.hash = PerfectHash(mixed)
+        at = self.hash.index(mixed)
+        self.prints, self.counts = np.empty(len(at), np.uint64), np.empty(len(at), np.uint32)
+        self.prints[at], self.counts[at] = prints, np.minimum(counts, 2**32 - 1)
 
     def count(self, place: np.ndarray, prints: np.ndarray) -> np.ndarray:
         """The count of each line, 0 where it is not in the shard."""
@@ -123,142 +125,102 @@ class Shard:
         return np.where((at >= 0) & (self.prints[at] == prints), self.counts[at], 0)
 
 
-def line_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """place, print, n: how many rows of docs hold each non-empty key."""
+def _count_chunks(bits: int):
+    """Rows (number, text) to (chunk, place, print, n, at): a chunk's distinct non-empty keys, how many of its rows hold each, and where: the row in the chunk and the line."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            both = np.frombuffer(b"".join(seen), ">u8").reshape(-1, 2).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(list(seen.values()), pa.int64())], ["place", "print", "n"])
+    def counted(chunk: int, digests: list[bytes], rows: list[int], lines: list[int]) -> pa.RecordBatch:
+        both = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.int64)
+        order = np.lexsort((both[:, 1], both[:, 0]))  # stable: a key's places stay in order
+        both, at = both[order], ((np.array(rows, np.int64) << 32) | np.array(lines, np.int64))[order]
+        other = np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1)])
+        first = np.flatnonzero(other)
+        n = np.add.reduceat((other | np.concatenate([[True], at[1:] >> 32 != at[:-1] >> 32])).astype(np.int64), first)
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(at))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), chunk)), pa.array(both[first, 0]), pa.array(both[first, 1]), pa.array(n), places], ["chunk", "place", "print", "n", "at"])
 
-        seen: Counter[bytes] = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digests, rows, lines = None, [], [], []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digests and (number >> bits != now or len(digests) >= COUNTED):
+                    yield counted(now, digests, rows, lines)
+                    digests, rows, lines = [], [], []
+                now = number >> bits
                 if text:
-                    own = set(keys(text))
-                    own.discard(b"")
-                    seen.update([xxhash.xxh3_128_digest(k) for k in own])
-                    if len(seen) >= COUNTED:
-                        yield out()
-                        seen.clear()
-        if seen:
-            yield out()
+                    own = [(k, xxhash.xxh3_128_digest(key)) for k, key in enumerate(keys(text)) if key]
+                    digests += [d for _, d in own]
+                    lines += [k for k, _ in own]
+                    rows += [number & (1 << bits) - 1] * len(own)
+        if digests:
+            yield counted(now, digests, rows, lines)
 
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(counted, "place long, print long, n long")
-    return counts.groupBy("place", "print").agg(F.sum("n").alias("n"))
+    return run
 
 
-def build_shards(frequent: DataFrame, shards: int) -> DataFrame:
-    """A row for each shard that has keys: its arrays. A shard's group has about SHARD_KEYS rows, spread by the hash."""
+def _answers(min_docs: int):
+    """Rows (shard, chunk, place, print, n) in order of shard to the (chunk, place, print) of frequent lines."""
 
-    def built(key: tuple, rows: pa.Table) -> pa.Table:
+    def answered(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        chunk, n = rows.column("chunk").to_numpy(), rows.column("n").to_numpy()
         place, prints = (rows.column(c).to_numpy().view(np.uint64) for c in ("place", "print"))
-        packed = Shard.packed(place, prints, rows.column("n").to_numpy())
-        kinds = {"levels": pa.list_(pa.binary()), "widths": pa.list_(pa.int64()), "prints": pa.binary(), "counts": pa.binary()}
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64())} | {k: pa.array([packed[k]], kind) for k, kind in kinds.items()})
-
-    at = F.shiftrightunsigned("place", 40) % shards
-    return frequent.withColumn("shard", at.cast("long")).groupBy("shard").applyInArrow(built, "shard long, levels array<binary>, widths array<long>, prints binary, counts binary")
-
-
-def _broadcast_shards(packed: DataFrame) -> dict[int, object]:
-    """Broadcasts by shard; the driver holds one at a time."""
-    context = packed.sparkSession.sparkContext
-    return {r["shard"]: context.broadcast((list(map(bytes, r["levels"])), list(r["widths"]), bytes(r["prints"]), bytes(r["counts"]))) for r in packed.toLocalIterator()}
-
-
-def _repeated(place: np.ndarray, prints: np.ndarray, own: dict[int, Shard], shards: int, min_docs: int) -> np.ndarray:
-    drop, of = np.zeros(len(place), bool), shard_of(place, shards)
-    for s in np.unique(of):
-        if (shard := own.get(int(s))) is not None:
-            at = np.flatnonzero(of == s)
-            drop[at] = shard.count(place[at], prints[at]) >= min_docs
-    return drop
-
-
-def _kept(text: str, drop: np.ndarray) -> str:
-    return "\n".join([line for line, d in zip(text.split("\n"), drop.tolist(), strict=True) if not d]) if drop.any() else text
-
-
-def _by_probe(rows: DataFrame, packed: DataFrame, shards: int, min_docs: int, text_at: int, schema: T.StructType) -> DataFrame:
-    sent = _broadcast_shards(packed)
-
-    def probing():
-        own: dict[int, Shard] = {}
-        for s, b in sent.items():
-            own[s] = Shard.unpacked(*b.value)
-
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            old = ["" if t is None else t for t in batch.column(text_at).to_pylist()]
-            lines = [keys(t) for t in old]
-            flat = [k for ks in lines for k in ks]
-            h = hashes(flat)
-            drop = _repeated(h[:, 0], h[:, 1], own, shards, min_docs) & np.array([bool(k) for k in flat])
-            ends = np.cumsum([0, *map(len, lines)])
-            each = [drop[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            new = pa.array([_kept(t, d) for t, d in zip(old, each, strict=True)], pa.string())
-            extra = [new, pa.array(np.diff(ends), pa.int64()), pa.array([int(d.sum()) for d in each], pa.int64())]
-            return pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "__kept", "__n_lines", "__n_dropped"])
-
-        return f
-
-    return rows.mapInArrow(over_batches(probing), schema)
-
-
-def _with_results(rows: DataFrame) -> T.StructType:
-    return T.StructType([*rows.schema.fields, T.StructField("__kept", T.StringType()), T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
-
-
-def _by_join(rows: DataFrame, frequent: DataFrame, text_col: str) -> DataFrame:
-    """The way for indexes too large to broadcast: (row, line) joined with the frequent hashes, regrouped by row."""
-
-    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((prints, place))
+        p, q = place[order], prints[order]
+        first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
+        index = Shard(p[first], q[first], np.add.reduceat(n[order], first))
+        often = index.count(place, prints) >= min_docs
+        return pa.RecordBatch.from_arrays([pa.array(chunk[often]), pa.array(place[often].view(np.int64)), pa.array(prints[often].view(np.int64))], ["chunk", "place", "print"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = {k: i for i, k in reversed([*enumerate(keys(text or ""))]) if k}
-                if lines:
-                    h = hashes(list(lines)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(lines.values()), pa.int64())], ["__row", "place", "print", "line"])
-
-    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "lines")
-    at = rows.select("__row", F.col(text_col).alias("text")).mapInArrow(located, "__row long, place long, print long, line long")
-    firsts = at.join(frequent.select("place", "print"), ["place", "print"]).groupBy("__row").agg(F.collect_set("line").alias("__firsts"))
-
-    def dropped():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names, new, n, gone = batch.schema.names, [], [], []
-            for text, firsts in zip(batch.column(names.index(text_col)).to_pylist(), batch.column(names.index("__firsts")).to_pylist(), strict=True):
-                own = keys(text or "")
-                bad = {own[i] for i in firsts or ()}
-                drop = np.array([k in bad for k in own])
-                new.append(_kept(text or "", drop))
-                n.append(len(own))
-                gone.append(int(drop.sum()))
-            extra = [pa.array(new, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())]
-            return pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "__kept", "__n_lines", "__n_dropped"])
-
-        return f
-
-    joined = rows.join(firsts, "__row", "left")
-    return joined.mapInArrow(over_batches(dropped), _with_results(joined)).drop("__row", "__firsts")
-
-
-def probe(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """The rows of docs with __kept (the text without repeated lines), __n_lines and __n_dropped."""
+            shard = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    if held and shard[a] != now:
+                        yield answered(held)
+                        held = []
+                    now = shard[a]
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield answered(held)
+
+    return run
+
+
+def lost(numbered: DataFrame, min_docs: int = MIN_DOCS, bits: int = CHUNK_BITS) -> DataFrame:
+    """number and lines (from 0, in any order) of every row that loses some, from rows of number and text."""
+    seen = written(numbered.mapInArrow(_count_chunks(bits), "chunk long, place long, print long, n long, at array<long>"), "line_hashes")
+    shards = max(1, math.ceil(seen.count() / SHARD_ROWS))
+    dealt = seen.select(F.pmod("place", F.lit(shards)).alias("shard"), "chunk", "place", "print", "n")
+    often = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_answers(min_docs), "chunk long, place long, print long")
+    places = seen.join(written(often, "frequent"), ["chunk", "place", "print"], "left_semi").select("chunk", F.explode("at").alias("at"))
+    number = F.shiftleft("chunk", bits) + F.shiftright("at", 32)
+    return places.groupBy(number.alias("number")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("lines"))
+
+
+def probe(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, list[str]]:
+    """The rows of docs, with three columns more, and the names of these: the text without repeated lines, its number of lines before, and of those dropped."""
     prepare(docs.sparkSession)
-    frequent = written(line_counts(docs, text_col).filter(F.col("n") >= min_docs), "frequent")
-    n = frequent.count()
-    if n * KEY_BYTES > most_broadcast:
-        return _by_join(docs, frequent, text_col)
-    shards = max(1, -(-n // SHARD_KEYS))
-    packed = written(build_shards(frequent, shards), "shards")
-    return _by_probe(docs, packed, shards, min_docs, docs.columns.index(text_col), _with_results(docs))
+    number, lines, *names = unused(docs, "__number", "__lines", "__kept", "__n_lines", "__n_dropped")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    gone = written(lost(rows.select(F.col(number).alias("number"), text.alias("text")), min_docs, CHUNK_BITS), "lost").toDF(number, lines)
+    few = (gone.agg(F.sum(F.size(lines))).first()[0] or 0) <= MOST_BROADCAST
+    out = rows.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), number, "left")
+    without = lambda each: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(each) - 1), F.col(lines)), lambda k: F.element_at(each, k + 1)), "\n")
+    kept = F.when(F.col(lines).isNull(), text).otherwise(F.element_at(F.transform(F.array(F.split(text, "\n", -1)), without), 1))  # split once
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    n_dropped = F.when(F.col(lines).isNull(), F.lit(0)).otherwise(F.size(lines))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), kept.alias(names[0]), n_lines.cast("long").alias(names[1]), n_dropped.cast("long").alias(names[2])), names
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept of every row."""
-    out = probe(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", min_docs)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__kept").alias("kept"))
+    out, (kept, n_lines, n_dropped) = probe(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), "text", min_docs)
+    return out.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), F.col(kept).alias("kept"))
 
 
 def digests(deduped: DataFrame) -> DataFrame:
@@ -267,8 +229,8 @@ def digests(deduped: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of docs with text that has lost its repeated lines, and n_chars to match where docs has that column."""
-    out = probe(docs, text_col, min_docs)
-    return out.select(*(F.col("__kept").alias(c) if c == text_col else F.length("__kept").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    out, (kept, *_) = probe(docs, text_col, min_docs)
+    return out.select(*(F.col(kept).alias(c) if c == text_col else F.length(kept).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""
