@@ -89,3 +89,34 @@ def test_pruning_reaches_the_scan(e):
 def test_correlated_subqueries_become_joins(e):
     plan = e.query("select n_name from nation n where exists (select 1 from region r where r.r_regionkey = n.n_regionkey)")._jdf.queryExecution().toString()
     assert "LeftSemi" in plan
+
+
+def test_row_expressions():
+    from decimal import Decimal
+
+    import pytest
+
+    from tidemark.plans.evaluate import Unsupported, evaluate
+
+    for text, want in (
+        ("7 / 2", 3), ("-7 / 2", -3), ("-7 % 3", -1), ("7 / 2.0", Decimal("3.5")), ("2 ^ 3 + 1", 9.0), ("1 + 2 * 3 = 7 and not false", True), ("null = 1 or true", True), ("null and false", False), ("null + 1", None), ("n between 1 and 5", True), ("n not in (1, 2)", True), ("n in (1, null)", None),
+        ("case when n > 2 then 'big' else 'small' end", "big"), ("case n when 3 then 1 / 1 else 1 / 0 end", 1), ("'a' || n || 'b'", "a3b"), ("s like 'x_%' and s ilike 'XY%'", True), ("upper(substr(s, 2)) || repeat('-', 2)", "YZ--"), ("coalesce(null, n, 4)", 3), ("cast('12' as int) + '3'::int", 15), ("round(2.5)", 3), ("n is null", False), ("n is distinct from null", True), ("greatest(1, n, null)", 3), ("2.5::int", 3),
+    ):
+        assert evaluate(text, {"n": 3, "s": "xyz"}) == want, text
+    for text in ("(select 1)", "now()", "n +"):
+        with pytest.raises((Unsupported, IndexError)):
+            evaluate(text, {"n": 3})
+
+
+def test_range_joins_shuffle_on_buckets(spark, sf):
+    from tidemark.engine import Engine
+
+    e = Engine(spark).load(sf, ["orders", "customer"])
+    sql = "select count(*) as n from orders o join customer c on o.o_totalprice between c.c_acctbal and c.c_acctbal + 30"
+    plain = e.query(sql)
+    e.sql("set nested_loop_rows = 10")
+    banded = e.query(sql)
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" in text(plain) and "NestedLoop" not in text(banded) and "Cartesian" not in text(banded)
+    assert plain.first() == banded.first()
+    assert "NestedLoop" not in text(e.query("select o.*, c.c_custkey from orders o join customer c on o.o_custkey = c.c_custkey and o.o_totalprice > c.c_acctbal and o.o_totalprice < c.c_acctbal + 9"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.catalogue import functions, programs, relational, tpch
+from tidemark.catalogue import functions, programs, relational, surfaces, tpch
 from tidemark.engine import Engine
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,8 +37,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def one(sql: str) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: run(spark, sf_dir, sql)
 
-    return {name: one(sql) for name, (sql, _) in texts().items()} | programs.queries()
+    return {name: one(sql) for name, (sql, _) in texts().items()} | programs.queries() | surfaces.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in texts().items()} | programs.oracle_sql()
+    return {name: sql for name, (_, sql) in texts().items()} | programs.oracle_sql() | surfaces.oracle_sql()

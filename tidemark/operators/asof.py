@@ -17,7 +17,11 @@ def join(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
 
 
 def band(left: DataFrame, right: DataFrame, a: str, b: str, width: float) -> DataFrame:
-    """Pairs with |a - b| <= width: rows meet in buckets of that width, each right row in three of them."""
+    """Pairs with |a - b| <= width: rows meet in buckets of that width, each right row in three of them; at width 0 by value."""
+    if width < 0:
+        return left.join(right, F.lit(False)).select(*left.columns, *right.columns)
+    if not width:
+        return left.join(right, F.col(a) == F.col(b)).select(*left.columns, *right.columns)
     own = left.withColumn("__bucket", F.floor(F.col(a) / width))
     near = right.withColumn("__bucket", F.explode(F.array(*(F.floor(F.col(b) / width) + k for k in (-1, 0, 1)))))
     return own.join(near, "__bucket").filter(F.abs(F.col(a) - F.col(b)) <= width).select(*left.columns, *right.columns)
