@@ -207,6 +207,28 @@ def test_event_windows_on_a_stream(spark, sf, tmp_path):
     assert sorted(map(tuple, spark.table("ev_out").collect())) == sorted(map(tuple, cdc.event_windows(events, "1 day").collect()))
 
 
+def test_asof_join_deals_a_hot_key(spark):
+    import bisect
+    import random
+
+    r = random.Random(2)
+    left = [(i, None if r.random() < 0.05 else 1 if r.random() < 0.7 else r.randint(2, 9), r.randint(0, 3_000)) for i in range(2_000)]
+    right = [(None if r.random() < 0.05 else 1 if r.random() < 0.7 else r.randint(2, 9), r.randint(0, 3_000), v) for v in range(1_500)]
+    a, b = spark.createDataFrame(left, "i int, k int, t int"), spark.createDataFrame(right, "k int, t int, v int")
+    by = {}
+    for k, t, v in right:
+        by.setdefault(k, []).append((t, v))
+    for rows in by.values():
+        rows.sort()
+
+    def last(k, t):
+        at = bisect.bisect_right(by.get(k, []), (t, 10**9))
+        return by[k][at - 1][1] if k is not None and at else None
+
+    got = asof.join(a, b, "k", "t", "v")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((i, k, t, last(k, t)) for i, k, t in left), key=repr)
+
+
 def test_band_join_matches_plain(spark):
     import random
 

@@ -82,6 +82,7 @@ SCRIPTS = {
     "text_codes": ("customer", "", "select ascii(c_name) as a, chr(64 + c_nationkey + 1) as b, format('%s has %L', c_name, c_mktsegment) as c, abs(c_acctbal) as d, round(cast(c_acctbal as numeric(12, 4)), 1) as e from customer", "select ascii(c_name) as a, chr(64 + c_nationkey + 1) as b, c_name || ' has ''' || c_mktsegment || '''' as c, abs(c_acctbal) as d, round(cast(c_acctbal as decimal(12, 4)), 1) as e from customer"),
     "join_range_buckets": ("lineitem orders", "set nested_loop_rows = 10", "select o.o_orderkey, count(*) as n, sum(l.l_orderkey) as s from orders o join lineitem l on l.l_extendedprice between o.o_totalprice - 5 and o.o_totalprice + 5 group by o.o_orderkey", "select o.o_orderkey, count(*) as n, sum(l.l_orderkey)::bigint as s from orders o join lineitem l on l.l_extendedprice between o.o_totalprice - 5 and o.o_totalprice + 5 group by o.o_orderkey"),
     "join_range_star": ("customer supplier", "set nested_loop_rows = 10", "select * from supplier s join customer c on c.c_acctbal >= s.s_acctbal - 20 and c.c_acctbal < s.s_acctbal + 0.5 and s.s_nationkey <> c.c_nationkey", "select * from supplier s join customer c on c.c_acctbal >= s.s_acctbal - 20 and c.c_acctbal < s.s_acctbal + 0.5 and s.s_nationkey <> c.c_nationkey"),
+    "win_exclude_frames": ("events", "", "select event_id, sum(event_id) over (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following exclude current row) as a, count(*) over (partition by user_id order by event_type groups between unbounded preceding and 1 following exclude current row) as b, min(event_id) over (partition by user_id order by event_type range between unbounded preceding and unbounded following exclude group) as c, max(event_id) over (partition by user_id order by event_type groups between 1 preceding and 1 following exclude ties) as d, round(avg(event_id) over (partition by user_id order by ts, event_id rows between 3 preceding and 1 preceding exclude current row), 6) as e, count(*) over (partition by user_id order by ts, event_id rows between current row and current row exclude current row) as f, sum(event_id) filter (where event_type <> 'click') over (partition by user_id order by event_type groups between current row and unbounded following exclude ties) as g from events", "select event_id, sum(event_id) over (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following exclude current row)::bigint as a, count(*) over (partition by user_id order by event_type groups between unbounded preceding and 1 following exclude current row) as b, min(event_id) over (partition by user_id order by event_type range between unbounded preceding and unbounded following exclude group) as c, max(event_id) over (partition by user_id order by event_type groups between 1 preceding and 1 following exclude ties) as d, round(avg(event_id) over (partition by user_id order by ts, event_id rows between 3 preceding and 1 preceding exclude current row), 6) as e, count(*) over (partition by user_id order by ts, event_id rows between current row and current row exclude current row) as f, sum(event_id) filter (where event_type <> 'click') over (partition by user_id order by event_type groups between current row and unbounded following exclude ties)::bigint as g from events"),
     "win_no_order": ("nation", "", "select count(distinct r) as n, max(r) as hi from (select row_number() over () as r from nation) as t", "select 25::bigint as n, 25 as hi"),
     "update_columns": ("nation", "create table t as select n_nationkey as k, n_name as v, n_regionkey as q from nation; update t set (v, q) = (select 'z', 9) where k < 3; update t set (v, q) = row('y', k) where k = 5", "select k, v, q from t", "select n_nationkey as k, case when n_nationkey < 3 then 'z' when n_nationkey = 5 then 'y' else n_name end as v, case when n_nationkey < 3 then 9 when n_nationkey = 5 then 5 else n_regionkey end as q from nation"),
     "plpgsql_rows": ("nation", _FIB, "select n_nationkey as k, fib(n_nationkey % 10) as f from nation", "select n_nationkey as k, [0, 1, 1, 2, 3, 5, 8, 13, 21, 34][n_nationkey % 10 + 1] as f from nation"),

@@ -5,15 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.recursive import stored
+
 
 def join(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """left with `value` of the last row of right with the same key and no later time; ties take the greatest value."""
-    both = left.withColumn("__side", F.lit(1)).withColumn("__value", F.lit(None).cast(right.schema[value].dataType))
-    other = right.select(key, time, F.lit(0).alias("__side"), F.col(value).alias("__value"))
-    stacked = both.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(time, "__side", F.col("__value").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    out = stacked.withColumn(value, F.last("__value", ignorenulls=True).over(w))
-    return out.filter("__side = 1").select(*left.columns, value)
+    """left with `value` of the last row of right with the same key and no later time; ties take the greatest value, null keys none.
+
+    Rows are ranged by key and time, so a key of any size is dealt to as many tasks as it fills. Within a range the
+    last value is a window; a key that goes on in the next range takes its last value along, one row for each range.
+    """
+    side, own, part, carried, going = _unused([*left.columns, *right.columns], "__side", "__value", "__part", "__carried", "__going")
+    both = left.withColumn(side, F.lit(1)).withColumn(own, F.lit(None).cast(right.schema[value].dataType))
+    other = right.filter(F.col(key).isNotNull()).select(key, time, F.lit(0).alias(side), F.col(value).alias(own))
+    order = [F.col(time).asc_nulls_first(), F.col(side).asc(), F.col(own).asc_nulls_last()]
+    stacked = both.unionByName(other, allowMissingColumns=True).repartitionByRange(F.col(key).asc_nulls_first(), *order)
+    rows = stored(stacked.withColumn(part, F.spark_partition_id()), "asof")
+    within = Window.partitionBy(part, key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max_by(F.when(F.col(own).isNotNull(), F.col(own)), F.when(F.col(own).isNotNull(), F.struct(time, own)))
+    spans = rows.filter(F.col(key).isNotNull()).groupBy(key, part).agg(last.alias(own))
+    before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn(carried, F.last(own, ignorenulls=True).over(before)).filter(F.col(carried).isNotNull()).select(part, F.col(key).alias(own), carried)
+    out = rows.withColumn(own, F.last(own, ignorenulls=True).over(within)).filter(F.col(side) == 1)
+    spans = F.broadcast(spans.withColumnRenamed(part, side))  # one key at most goes on from a range to the next: a row for each range
+    met = out.drop(side).join(spans.withColumnRenamed(own, going), (F.col(part) == F.col(side)) & (F.col(key) == F.col(going)), "left")
+    return met.select(*left.columns, F.coalesce(own, carried).alias(value))
+
+
+def _unused(taken: list[str], *names: str) -> list[str]:
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name in known:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def band(left: DataFrame, right: DataFrame, a: str, b: str, width: float) -> DataFrame:
