@@ -88,6 +88,9 @@ SCRIPTS = {
     "plpgsql_rows": ("nation", _FIB, "select n_nationkey as k, fib(n_nationkey % 10) as f from nation", "select n_nationkey as k, [0, 1, 1, 2, 3, 5, 8, 13, 21, 34][n_nationkey % 10 + 1] as f from nation"),
     "plpgsql_constant": ("nation", "create function cnt(x int) returns int language plpgsql as $$ declare n int; begin select count(*) into n from nation where n_regionkey = x; if n > 3 then return n * 10; end if; return n; end $$", "select cnt(2) as a, cnt(99) as b", "select 50 as a, 0 as b"),
     "plpgsql_control": ("", "create function f(n int) returns text language plpgsql as $$ declare out text := ''; k int := 0; begin <<top>> loop k := k + 1; continue when k % 2 = 0; exit top when k > n; out := out || k; end loop; case n when 5 then out := out || '!'; else out := out || '?'; end case; return out; end $$", "select f(5) as a, f(8) as b", "select '135!' as a, '1357?' as b"),
+    "plpgsql_return_next": ("", "create function squares(n int) returns table (k int, sq bigint) language plpgsql as $$ begin for i in 1..n loop k := i; sq := i * i; return next; end loop; return; end $$; create function evens(n int) returns setof int language plpgsql as $$ begin for i in 0..n by 2 loop return next i; end loop; end $$", "select k, sq from squares(4) as s union all select evens, -1 from evens(5) as e", "select * from (values (1, 1::bigint), (2, 4), (3, 9), (4, 16), (0, -1), (2, -1), (4, -1)) as v(k, sq)"),
+    "plpgsql_return_query": ("nation", "create function of_region(r int) returns table (k int, name text) language plpgsql as $$ begin return query select n_nationkey, n_name from nation where n_regionkey = r; if not found then return query select -1, 'none'; end if; end $$", "select k, name from of_region(2) as f union all select k, name from of_region(77) as g", "select n_nationkey as k, n_name as name from nation where n_regionkey = 2 union all select -1, 'none'"),
+    "plpgsql_cursor": ("nation", "create function longest() returns text language plpgsql as $$ declare c cursor for select n_name, n_nationkey from nation order by n_nationkey; a text; b int; out text := ''; begin open c; loop fetch c into a, b; exit when not found; if b % 10 = 3 then out := out || a || ';'; end if; end loop; close c; for r in c loop if r.n_nationkey = 1 then out := out || r.n_name; end if; end loop; return out; end $$", "select longest() as a", "select string_agg(n_name, ';' order by n_nationkey) || ';NATION_1' as a from nation where n_nationkey % 10 = 3"),
     "do_block": ("", "create table t (k int); do $$ begin for i in 1..5 loop insert into t values (i * i); end loop; end $$", "select k from t", "select unnest([1, 4, 9, 16, 25])::int as k"),
     "trigger_before": ("nation", "create table t (k int, v text, seen boolean); create function stamp() returns trigger language plpgsql as $$ begin if new.k > 3 then new.v := upper(new.v); end if; new.seen := true; return new; end $$; create trigger stamper before insert on t for each row execute function stamp(); insert into t (k, v) select n_nationkey, lower(n_name) from nation", "select k, v, seen from t", "select n_nationkey as k, case when n_nationkey > 3 then upper(n_name) else lower(n_name) end as v, true as seen from nation"),
     "trigger_after": ("nation", "create table t (k int); create table log (k int); create function note() returns trigger language plpgsql as $$ begin insert into log values (new.k); return new; end $$; create trigger noter after insert on t for each row execute function note(); insert into t select n_nationkey from nation", "select k from log", "select n_nationkey as k from nation"),
