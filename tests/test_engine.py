@@ -230,3 +230,22 @@ def test_statements_rewrite_only_files_that_hold_hits(spark):
     assert kept("merge into t using (select 6 as k) as s on t.k = s.k when matched then delete") > 0
     want = {i: i for a in (0, 100, 200) for i in range(a, a + 10)} | {105: 106, 204: 7, 5: 0, 900: 1}
     assert dict(map(tuple, e.query("select k, v from t").collect())) == {k: v for k, v in want.items() if k not in (3, 6)}
+
+
+def test_vacuum_deletes_old_versions_only(spark):
+    import os
+
+    e = Engine(spark)
+    e.sql("create table t (k bigint, v bigint)")
+    for a in (0, 100, 200):
+        e.sql(f"insert into t select i, i from generate_series({a}, {a + 9}) as g(i)")
+    e.sql("update t set v = -1 where k = 105; delete from t where k = 3; update t set v = 7 where k = 204")
+    want = sorted(map(tuple, e.query("select k, v from t").collect()))
+    before = set(e.written)
+    e.sql("vacuum")
+    assert sorted(map(tuple, e.query("select k, v from t").collect())) == want
+    gone = before - e.written
+    assert gone and not any(os.path.exists(p.removeprefix("file://")) for p in gone)
+    e.sql("begin")
+    with pytest.raises(SqlError, match="transaction"):
+        e.sql("vacuum")

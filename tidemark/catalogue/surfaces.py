@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import http.server
 import json
 import struct
@@ -61,6 +62,9 @@ RELATIONS = {
     "ws_connections": ("select count(*) as a from ws.connections", "values (0::bigint)", "a"),
 }
 
+_NAMES = [f"NATION_{k}" for k in range(25)]
+_DIGESTS = ", ".join(f"('{n}', '{hashlib.sha224(n.encode()).hexdigest()}', '{hashlib.sha384(n.encode()).hexdigest()}', '{hashlib.sha512(n.encode()).hexdigest()}')" for n in _NAMES)
+
 _FIB = "create function fib(n int) returns int language plpgsql as $$ declare a int := 0; b int := 1; t int; begin for i in 1..n loop t := a + b; a := b; b := t; end loop; return a; end $$"
 
 #: Name: (tables, script, query, SQL of the oracle).
@@ -91,6 +95,13 @@ SCRIPTS = {
     "plpgsql_return_next": ("", "create function squares(n int) returns table (k int, sq bigint) language plpgsql as $$ begin for i in 1..n loop k := i; sq := i * i; return next; end loop; return; end $$; create function evens(n int) returns setof int language plpgsql as $$ begin for i in 0..n by 2 loop return next i; end loop; end $$", "select k, sq from squares(4) as s union all select evens, -1 from evens(5) as e", "select * from (values (1, 1::bigint), (2, 4), (3, 9), (4, 16), (0, -1), (2, -1), (4, -1)) as v(k, sq)"),
     "plpgsql_return_query": ("nation", "create function of_region(r int) returns table (k int, name text) language plpgsql as $$ begin return query select n_nationkey, n_name from nation where n_regionkey = r; if not found then return query select -1, 'none'; end if; end $$", "select k, name from of_region(2) as f union all select k, name from of_region(77) as g", "select n_nationkey as k, n_name as name from nation where n_regionkey = 2 union all select -1, 'none'"),
     "plpgsql_cursor": ("nation", "create function longest() returns text language plpgsql as $$ declare c cursor for select n_name, n_nationkey from nation order by n_nationkey; a text; b int; out text := ''; begin open c; loop fetch c into a, b; exit when not found; if b % 10 = 3 then out := out || a || ';'; end if; end loop; close c; for r in c loop if r.n_nationkey = 1 then out := out || r.n_name; end if; end loop; return out; end $$", "select longest() as a", "select string_agg(n_name, ';' order by n_nationkey) || ';NATION_1' as a from nation where n_nationkey % 10 = 3"),
+    # Functions over the columns of tables, nulls among them.
+    "col_hash": ("nation", "", "select n_name as n, sha224(n_name) as a, sha384(n_name) as b, sha512(n_name) as c, md5(n_name) as d, sha256(n_name) as e, md5(nullif(n_name, 'NATION_3')) as f from nation", f"select v.*, md5(n) as d, sha256(n) as e, case when n <> 'NATION_3' then md5(n) end as f from (values {_DIGESTS}) as v(n, a, b, c)"),
+    "col_arrays": ("nation", "create table t as select n_nationkey as k, case when n_nationkey % 4 = 0 then null else array[n_nationkey, n_regionkey, null, 7] end as a from nation", "select k, array_append(a, 1) as b, array_prepend(0, a) as c, array_remove(a, 7) as d, array_replace(a, 7, 8) as e, array_position(a, 7) as f, array_length(a, 1) as g, cardinality(a) as h, array_to_string(a, ',', '-') as i, a[1] as j, a[2:3] as l from t", "select k, list_concat(a, [1]) as b, case when a is null then [0] else list_concat([0], a) end as c, case when a is null then null else list_filter(a, lambda x: x is null or x <> 7) end as d, list_transform(a, lambda x: case when x = 7 then 8 else x end) as e, list_position(a, 7) as f, len(a) as g, len(a) as h, array_to_string(list_transform(a, lambda x: coalesce(x::varchar, '-')), ',') as i, a[1] as j, a[2:3] as l from (select n_nationkey as k, case when n_nationkey % 4 = 0 then null else [n_nationkey, n_regionkey, null, 7] end as a from nation)"),
+    "col_json": ("customer", "create table t as select c_custkey as k, case when c_custkey % 5 = 0 then null else jsonb_build_object('k', c_custkey, 's', c_name, 'n', null, 'l', json_build_array(c_nationkey, c_nationkey + 1)) end as j from customer", "select k, (j ->> 'k')::int as a, j ->> 's' as b, j ->> 'n' as c, j #>> '{l,1}' as d, jsonb_array_length(j -> 'l') as e, jsonb_typeof(j -> 's') as f, j ? 's' as g, jsonb_exists(j, 'zz') as h, jsonb_path_exists(j, '$.l[*] ? (@ > 20)') as i from t", "select c_custkey as k, case when x then c_custkey end as a, case when x then c_name end as b, null as c, case when x then (c_nationkey + 1)::varchar end as d, case when x then 2 end as e, case when x then 'string' end as f, case when x then true end as g, case when x then false end as h, case when x then c_nationkey + 1 > 20 end as i from (select *, c_custkey % 5 <> 0 as x from customer)"),
+    "col_dates": ("orders", "", "select o_orderkey as k, date_trunc('quarter', o_orderdate) as a, extract(dow from o_orderdate)::int as b, extract(week from o_orderdate)::int as c, extract(doy from o_orderdate)::int as d, (o_orderdate + interval '1 month 3 days')::date as e, to_char(o_orderdate, 'YYYY-MM-DD HH24:MI') as f, (date '1999-01-01' - o_orderdate::date) as g, make_date(extract(year from o_orderdate)::int, 2, 1) as h from orders", "select o_orderkey as k, date_trunc('quarter', o_orderdate)::timestamp as a, dayofweek(o_orderdate)::int as b, weekofyear(o_orderdate)::int as c, dayofyear(o_orderdate)::int as d, (o_orderdate + interval 1 month + interval 3 days)::date as e, strftime(o_orderdate, '%Y-%m-%d %H:%M') as f, datediff('day', o_orderdate::date, date '1999-01-01')::int as g, make_date(year(o_orderdate), 2, 1) as h from orders"),
+    "col_strings": ("customer", "", "select c_custkey as k, split_part(c_name, '#', 2) as a, lpad(c_mktsegment, 12, '*') as b, overlay(c_name placing '--' from 3 for 2) as c, translate(c_mktsegment, 'AEIOU', 'aei') as d, regexp_replace(c_name, '0+', '') as e, (regexp_match(c_name, '([A-Za-z]+)'))[1] as f, position('T' in c_mktsegment) as g, reverse(c_mktsegment) as h, initcap(c_mktsegment) as i, left(c_name, -2) as j, strpos(c_name, 'zz') as l, concat_ws('/', c_name, nullif(c_mktsegment, 'BUILDING'), c_nationkey) as m from customer", "select c_custkey as k, split_part(c_name, '#', 2) as a, lpad(c_mktsegment, 12, '*') as b, left(c_name, 2) || '--' || substr(c_name, 5) as c, translate(c_mktsegment, 'AEIOU', 'aei') as d, regexp_replace(c_name, '0+', '') as e, regexp_extract(c_name, '([A-Za-z]+)', 1) as f, strpos(c_mktsegment, 'T') as g, reverse(c_mktsegment) as h, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) as i, left(c_name, -2) as j, 0 as l, concat_ws('/', c_name, nullif(c_mktsegment, 'BUILDING'), c_nationkey) as m from customer"),
+    "col_math": ("lineitem", "", "select l_orderkey as k, l_linenumber as n, round(sqrt(l_quantity), 6) as a, floor(l_extendedprice) as b, ceil(l_discount * 10) as c, mod(l_orderkey, 7) as d, div(l_orderkey, 7) as e, gcd(l_orderkey, 12) as f, sign(l_discount - 0.05) as g, round(ln(l_quantity), 6) as h, width_bucket(l_quantity, 0, 50, 5) as i, round(power(l_quantity, 1.5), 4) as j, greatest(l_tax, l_discount, null) as l from lineitem", "select l_orderkey as k, l_linenumber as n, round(sqrt(l_quantity), 6) as a, floor(l_extendedprice) as b, ceil(l_discount * 10) as c, l_orderkey % 7 as d, l_orderkey // 7 as e, gcd(l_orderkey, 12) as f, sign(l_discount - 0.05) as g, round(ln(l_quantity), 6) as h, case when l_quantity >= 50 then 6 when l_quantity < 0 then 0 else floor(l_quantity / 10) + 1 end as i, round(pow(l_quantity, 1.5), 4) as j, greatest(l_tax, l_discount) as l from lineitem"),
     "do_block": ("", "create table t (k int); do $$ begin for i in 1..5 loop insert into t values (i * i); end loop; end $$", "select k from t", "select unnest([1, 4, 9, 16, 25])::int as k"),
     "trigger_before": ("nation", "create table t (k int, v text, seen boolean); create function stamp() returns trigger language plpgsql as $$ begin if new.k > 3 then new.v := upper(new.v); end if; new.seen := true; return new; end $$; create trigger stamper before insert on t for each row execute function stamp(); insert into t (k, v) select n_nationkey, lower(n_name) from nation", "select k, v, seen from t", "select n_nationkey as k, case when n_nationkey > 3 then upper(n_name) else lower(n_name) end as v, true as seen from nation"),
     "trigger_after": ("nation", "create table t (k int); create table log (k int); create function note() returns trigger language plpgsql as $$ begin insert into log values (new.k); return new; end $$; create trigger noter after insert on t for each row execute function note(); insert into t select n_nationkey from nation", "select k from log", "select n_nationkey as k from nation"),

@@ -149,9 +149,9 @@ CONDITIONAL = {
 }
 
 ARRAY = {
-    **_same("array_append", "="),
-    "array_prepend": {2: ("array_prepend({1}, {0})", "=")},
-    "array_cat": {2: ("concat({0}, {1})", "=")},
+    "array_append": {2: ("array_append(coalesce({0}, array()), {1})", "=")},
+    "array_prepend": {2: ("array_prepend(coalesce({1}, array()), {0})", "=")},
+    "array_cat": {2: ("coalesce(concat({0}, {1}), {0}, {1})", "=")},
     "array_remove": {2: ("filter({0}, x -> not (x <=> {1}))", "=")},
     "array_replace": {3: ("transform({0}, x -> if(x <=> {1}, {2}, x))", "=")},
     "array_position": {2: ("nullif(array_position({0}, {1}), 0)", "bigint"), 3: ("try_element_at(filter(transform({0}, (x, i) -> if(x <=> {1}, i + 1, null)), y -> y >= {2}), 1)", "int")},
@@ -203,9 +203,9 @@ JSON = {
     **_both("typeof", {1: ("case when substring(ltrim({0}), 1, 1) = '{{' then 'object' when substring(ltrim({0}), 1, 1) = '[' then 'array' when substring(ltrim({0}), 1, 1) = '\"' then 'string' when trim({0}) in ('true', 'false') then 'boolean' when trim({0}) = 'null' then 'null' when {0} is not null then 'number' end", "text")}),
     **_both("strip_nulls", {1: ("pg_json_strip_nulls({0}, false)", "json"), 2: ("pg_json_strip_nulls({0}, {1})", "json")}),
     **_both("pretty", {1: ("pg_json_pretty({0})", "text")}),
-    "jsonb_exists": {2: ("coalesce(array_contains(json_object_keys({0}), {1}), array_contains(from_json({0}, 'array<string>'), {1}), false)", "bool")},
-    "jsonb_exists_any": {2: ("coalesce(arrays_overlap(json_object_keys({0}), {1}), false)", "bool")},
-    "jsonb_exists_all": {2: ("coalesce(size(array_except({1}, json_object_keys({0}))) = 0, false)", "bool")},
+    "jsonb_exists": {2: ("if({0} is null or {1} is null, null, coalesce(array_contains(json_object_keys({0}), {1}), array_contains(from_json({0}, 'array<string>'), {1}), false))", "bool")},
+    "jsonb_exists_any": {2: ("if({0} is null or {1} is null, null, coalesce(arrays_overlap(json_object_keys({0}), {1}), false))", "bool")},
+    "jsonb_exists_all": {2: ("if({0} is null or {1} is null, null, coalesce(size(array_except({1}, json_object_keys({0}))) = 0, false))", "bool")},
     **{f"jsonb_path_{n}": {2: (f"pg_jsonb_path_{n}({{0}}, {{1}}, '{{{{}}}}')", t), 3: (f"pg_jsonb_path_{n}({{0}}, {{1}}, {{2}})", t), 4: (f"pg_jsonb_path_{n}({{0}}, {{1}}, {{2}})", t)} for n, t in (("exists", "bool"), ("match", "bool"), ("query_array", "json"), ("query_first", "json"))},
     "jsonb_path_query": {2: ("pg_jsonb_path_query_first({0}, {1}, '{{}}')", "json")},
     "jsonb_set": {3: ("pg_jsonb_set({0}, {1}, {2}, true)", "json"), 4: ("pg_jsonb_set({0}, {1}, {2}, {3})", "json")},
