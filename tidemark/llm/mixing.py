@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = "mix-1"
-#: Above so many sources their targets are joined by a shuffle, not broadcast (at most about 20 MB).
+#: Above so many sources (at most about 20 MB) their targets are joined by a shuffle, not broadcast, and summed in ranges.
 BROADCAST_SOURCES = 100_000
 
 
@@ -38,11 +38,15 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str, few: bool) -> DataFrame:
     """df with, for each of sums, the sum over the rows up to and with this one in `order`, which must be total.
 
-    Rows are ranged by order and summed within ranges; only one row for each range meets in one task.
+    A few rows (BROADCAST_SOURCES at most) are one window. Others are ranged by order and summed within ranges;
+    only one row for each range meets in one task.
     """
+    if few:
+        whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({k: F.sum(c).over(whole) for k, c in sums.items()})
     ranged = written(df.withColumns(sums).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
     ends = ranged.groupBy("_part").agg(*(F.sum(k).alias(f"_{k}") for k in sums))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,11 +59,12 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: s
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """source, source_size, target from rows of source and size."""
     by = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    few = by.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     order = [F.col("source").isNull(), F.col("source")]
-    by = running(by, order, {"place": F.lit(1).cast("long")}, "sources")
+    by = running(by, order, {"place": F.lit(1).cast("long")}, "sources", few)
     by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long")).withColumn("cap", F.col("source_size") * most)
     ratio = F.col("cap").cast("double") / F.col("weight")
-    by = running(by.withColumn("ratio", ratio), [F.col("ratio"), F.col("place")], {"caps": F.col("cap"), "weights": F.col("weight")}, "sources")
+    by = running(by.withColumn("ratio", ratio), [F.col("ratio"), F.col("place")], {"caps": F.col("cap"), "weights": F.col("weight")}, "sources", few)
     whole = by.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("all_weights"))
     by = by.crossJoin(F.broadcast(whole))  # one row
     left = F.col("all_weights") - F.col("weights") + F.col("weight")
