@@ -105,6 +105,8 @@ SCRIPTS = {
     "do_block": ("", "create table t (k int); do $$ begin for i in 1..5 loop insert into t values (i * i); end loop; end $$", "select k from t", "select unnest([1, 4, 9, 16, 25])::int as k"),
     "trigger_before": ("nation", "create table t (k int, v text, seen boolean); create function stamp() returns trigger language plpgsql as $$ begin if new.k > 3 then new.v := upper(new.v); end if; new.seen := true; return new; end $$; create trigger stamper before insert on t for each row execute function stamp(); insert into t (k, v) select n_nationkey, lower(n_name) from nation", "select k, v, seen from t", "select n_nationkey as k, case when n_nationkey > 3 then upper(n_name) else lower(n_name) end as v, true as seen from nation"),
     "trigger_after": ("nation", "create table t (k int); create table log (k int); create function note() returns trigger language plpgsql as $$ begin insert into log values (new.k); return new; end $$; create trigger noter after insert on t for each row execute function note(); insert into t select n_nationkey from nation", "select k from log", "select n_nationkey as k from nation"),
+    "trigger_variables": ("nation", "create table t (k int, v text, f bigint); create function stamp() returns trigger language plpgsql as $$ declare a bigint := 0; b bigint := 1; t bigint; begin for i in 1..new.k loop t := a + b; a := b; b := t; end loop; new.f := a; if new.k > 22 then return null; end if; new.v := tg_op || ':' || upper(new.v); return new; end $$; create trigger stamper before insert on t for each row execute function stamp(); insert into t (k, v) select n_nationkey, lower(n_name) from nation", "select k, v, f from t", "with recursive fib(k, a, b) as (select 0, 0::bigint, 1::bigint union all select k + 1, b, a + b from fib where k < 30) select n_nationkey as k, 'INSERT:' || upper(n_name) as v, a as f from nation join fib on k = n_nationkey where n_nationkey <= 22"),
+    "trigger_after_rows": ("nation", "create table t (k int, r int); create table n (r int, c int); insert into n values (0, 0), (1, 0), (2, 0), (3, 0), (4, 0); create function tally() returns trigger language plpgsql as $$ declare old_c int; begin select c into old_c from n where r = new.r; update n set c = old_c + 1 where r = new.r; return new; end $$; create trigger tallier after insert on t for each row execute function tally(); insert into t select n_nationkey, n_regionkey from nation where n_nationkey < 7", "select r, c from n", "select r_regionkey as r, (select count(*) from nation where n_regionkey = r_regionkey and n_nationkey < 7)::int as c from region"),
     "session_settings": ("", "set work_mem = '64MB'", "select current_setting('work_mem') as a, set_config('x.y', '5', false) as b, current_setting('x.y') as c", "select '64MB' as a, '5' as b, '5' as c"),
     "schema_tables": ("nation", "create schema sales; create table sales.t as select n_name from nation; create extension pgcrypto; drop extension pgcrypto; listen ch; notify ch, 'x'; unlisten ch; discard all", "select count(*) as n, (select count(*) from pg_extension) as e from sales.t", "select 25::bigint as n, 0::bigint as e"),
     "user_range_type": ("", "create type span as range (subtype = int); create table t (s span)", "select count(*) as n from t", "select 0::bigint as n"),
@@ -288,6 +290,24 @@ class _Echo(http.server.BaseHTTPRequestHandler):
         pass
 
 
+def win_refused(spark, sf_dir):
+    """Windows that PostgreSQL refuses are refused."""
+    e = Engine(spark).load(sf_dir, ["nation"])
+
+    def refused(sql: str) -> bool:
+        try:
+            e.query(f"select {sql} as x from nation").collect()
+        except Exception:  # noqa: BLE001  that it fails is what is asked
+            return True
+        return False
+
+    cases = {
+        "in where": "1 as y from nation where row_number() over (order by n_name) > 1 union select 1", "frame turned": "sum(n_nationkey) over (order by n_name rows between current row and unbounded preceding)",
+        "unknown window": "sum(n_nationkey) over w", "range of text": "sum(n_nationkey) over (order by n_name range between 1 preceding and current row)", "fine": "sum(n_nationkey) over (order by n_nationkey range between 1 preceding and current row)",
+    }
+    return spark.createDataFrame([(k, refused(v)) for k, v in cases.items()], "what string, refused boolean")
+
+
 def http_calls(spark, sf_dir):
     """Requests to a server of this process."""
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Echo)
@@ -363,6 +383,7 @@ _OWN = {
     "sink_json": "select r_regionkey as k, r_name as name, true as ok from region",
     "state_snapshot": "select * from (values (1, 'a', 2::bigint), (2, 'c', 2::bigint)) as v(k, v, n)",
     "tools": "select 'embeddings,o,region' as tables, 'r_regionkey,r_name' as columns, min(vec_id)::bigint as vec_id from embeddings",
+    "win_refused": "select * from (values ('in where', true), ('frame turned', true), ('unknown window', true), ('range of text', true), ('fine', false)) as v(what, refused)",
     "explain": "select unnest(['hash', 'theta', 'pushed', 'analyze']) as what, true as found",
     "http_calls": "select * from (values ('get', '200', 'GET /a '), ('post', '200', 'POST /b body'), ('put', '200', 'PUT /c x'), ('patch', '200', 'PATCH /d y'), ('delete', '200', 'DELETE /e '), ('head', '200', ''), ('missing', '404', 'GET /missing ')) as v(what, status, content)",
     "replication": "select n_nationkey::varchar as k, case when n_nationkey = 1 then 'new' else n_name end as v from nation where n_nationkey <> 2 union all select '100', null",

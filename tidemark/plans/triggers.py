@@ -1,28 +1,46 @@
 """Row triggers as plans: a PL/pgSQL body over NEW and OLD becomes columns of the changed rows, or statements over all of them.
 
-BEFORE bodies may assign to NEW's columns, branch, raise, and return NEW or NULL: each becomes an expression. AFTER
-bodies may hold INSERT .. VALUES, UPDATE and DELETE statements on other tables: INSERT .. VALUES runs once over all
-changed rows as INSERT .. SELECT. Other bodies are refused when the trigger is made.
+BEFORE bodies that assign to NEW's columns, branch, raise, and return NEW or NULL become expressions; others without
+queries (variables, loops) run row by row on the executors. AFTER bodies that branch and hold INSERT .. VALUES run once
+over all changed rows as INSERT .. SELECT; others run on the driver, a row after another, for MOST_ROWS changed rows of a
+statement at most (`SET row_trigger_limit = n`). BEFORE bodies with queries are refused when the trigger is made.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.procedural import Block
+from tidemark.plans.procedural import Block, changed_record, is_pure, run_block
 from tidemark.plans.translate import Translator, kind_of
 
 
+MOST_ROWS = 10_000
+
+
 @dataclass
 class Trigger:
     name: str
     before: bool
     events: set[str]
     function: str
+    row_wise: bool = False  # a body that is no plan
+
+
+def made(name: str, before: bool, events: set[str], function: str, body: str) -> Trigger:
+    try:
+        found = steps(body)
+        if before or all(s.kind in ("insert", "keep") and (s.kind != "insert" or _INSERT.fullmatch(s.text.strip())) for s in found):
+            return Trigger(name, before, events, function)
+    except SyntaxError:
+        if before and not is_pure(body):
+            raise
+    return Trigger(name, before, events, function, True)
 
 
 @dataclass
@@ -79,6 +97,31 @@ def steps(body: str) -> list[Step]:
     return out
 
 
+_INSERT = re.compile(r"(insert\s+into\s+[\w.]+\s*(?:\([^)]*\))?)\s*values\s*\((.*)\)", re.I | re.S)
+
+
+def _before_rows(body: str, rows: DataFrame, event: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for row in batch.to_pylist():
+                out = changed_record(body, None if event == "delete" else row, row if event != "insert" else None, event)
+                if out is not None:
+                    kept.append(out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in kept], f.type) for f in batch.schema], schema=batch.schema)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _after_rows(engine, body: str, rows: DataFrame, event: str) -> None:
+    most = int(engine.settings.get("row_trigger_limit", MOST_ROWS))
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"an AFTER trigger that is no INSERT .. VALUES runs for {most} rows of a statement at most: SET row_trigger_limit")
+    for r in rows.toLocalIterator():
+        row = r.asDict()
+        run_block(engine, body, {"new": None if event == "delete" else row, "old": row if event != "insert" else None, "tg_op": event.upper()})
+
+
 def _expression(engine, sql: str, columns: dict[str, str], event: str) -> str:
     """An expression over new.x and old.x as one over columns `new.x` and `old.x` of the joined rows."""
     sql = re.sub(r"\btg_op\b", f"'{event.upper()}'", sql, flags=re.I)
@@ -89,6 +132,8 @@ def _expression(engine, sql: str, columns: dict[str, str], event: str) -> str:
 
 def before(engine, trigger: Trigger, rows: DataFrame, event: str) -> DataFrame:
     """Rows as a BEFORE trigger leaves them. OLD is not kept for updates here: its columns read as NEW's before the body ran."""
+    if trigger.row_wise:
+        return _before_rows(engine.functions[trigger.function]["body"], rows, event)
     kinds = {f.name: kind_of(f.dataType.simpleString()) for f in rows.schema}
     out, names, done = rows, rows.columns, "false"
     for c in names:
@@ -115,6 +160,9 @@ def before(engine, trigger: Trigger, rows: DataFrame, event: str) -> DataFrame:
 
 def after(engine, trigger: Trigger, rows: DataFrame, event: str) -> None:
     """Runs an AFTER trigger's statements over all changed rows at once."""
+    if trigger.row_wise:
+        _after_rows(engine, engine.functions[trigger.function]["body"], rows, event)
+        return
     view = f"{engine.prefix}_changed"
     engine.register(view, rows)
     try:
@@ -123,13 +171,9 @@ def after(engine, trigger: Trigger, rows: DataFrame, event: str) -> None:
             if not re.search(r"\b(new|old)\.", condition, re.I) and not engine.query(f"select {condition}").first()[0]:
                 continue  # not for this event
             if s.kind == "insert":
-                m = re.fullmatch(r"(insert\s+into\s+[\w.]+\s*(?:\([^)]*\))?)\s*values\s*\((.*)\)", s.text.strip(), re.I | re.S)
-                if not m:
-                    raise SyntaxError("only INSERT .. VALUES is supported in an AFTER trigger")
+                m = _INSERT.fullmatch(s.text.strip())
                 alias = "old" if event == "delete" else "new"
                 values = re.sub(r"\btg_op\b", f"'{event.upper()}'", m[2], flags=re.I)
                 engine.execute(f"{m[1]} select {values} from {view} as {alias} where {condition}")
-            elif s.kind in ("set", "raise"):
-                raise SyntaxError(f"{s.kind} is not supported in an AFTER trigger")
     finally:
         del engine.tables[view]
