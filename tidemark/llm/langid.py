@@ -1,7 +1,8 @@
 """Language ID by compression: the language whose raw-content zstandard dictionary makes a text smallest.
 
 One dictionary for each non-null lang: a hash-chosen sample of training texts, up to SAMPLE_DOCS of
-SAMPLE_CHARS each and DICT_BYTES in all (these bound the fit only). Every text is encoded whole, in
+SAMPLE_CHARS each and DICT_BYTES in all, and with many languages fewer, so that all together stay below ALL_DOCS
+texts and ALL_BYTES (these bound the fit only). Every text is encoded whole, in
 pieces of PIECE bytes so that a long text does not come to live on its own history. The smallest sum of
 sizes names the language; the relative margin to the second smallest makes the score, and a margin under
 MARGIN is rejected (`rejected` is true; the smallest is still named).
@@ -28,6 +29,7 @@ from tidemark.llm.common import is_held_out, over_batches, prepare
 SAMPLE_DOCS = 128
 SAMPLE_CHARS = 4_096
 DICT_BYTES = 112_640
+ALL_DOCS, ALL_BYTES = 16_384, 32 << 20
 LEVEL = 9
 PIECE = 1_024
 #: Margins, as a part of the smaller size, below which a prediction is rejected.
@@ -50,11 +52,10 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not sizes:
         return {}
-    part = F.lit(None).cast("double")
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, F.lit(2 * SAMPLE_DOCS / n)).otherwise(part)
+    most = max(1, min(SAMPLE_DOCS, ALL_DOCS // len(sizes)))
+    shares = known.sparkSession.createDataFrame([(lang, 2 * most / n) for lang, n in sizes.items()], "lang string, part double")
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("lang-1"), F.col("doc_id").cast("string"), F.md5("text"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    rows = known.withColumn("draw", draw).filter(F.col("draw") < part).select("lang", "draw", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    rows = known.join(F.broadcast(shares), "lang").withColumn("draw", draw).filter(F.col("draw") < F.col("part")).select("lang", "draw", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["draw"], r["text"])):
         texts.setdefault(r["lang"], []).extend(letters(line) for line in r["text"].split("\n"))
@@ -79,7 +80,7 @@ def _joined(texts: dict[str, list[str]]) -> dict[str, bytes]:
         words = " ".join(lines).split()
         order = np.random.default_rng(1).permutation(len(words))
         if words:
-            out[lang] = " ".join(words[i] for i in order).encode()[-DICT_BYTES:]
+            out[lang] = " ".join(words[i] for i in order).encode()[-min(DICT_BYTES, ALL_BYTES // len(texts)) :]
     return out
 
 
