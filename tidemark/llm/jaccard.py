@@ -11,7 +11,8 @@ LEAST_ALIKE of the coordinates or more become candidates (at the threshold that
 Runs repeat until a pair at the threshold meets with probability RECALL, even if all its buckets split to the end.
 
 Candidates only tie classes into groups. Within a group the whole sets are compared exactly: groups of up
-to BLOCK classes in one task, larger ones as blocks against blocks, so no task holds more than two blocks.
+to BLOCK classes in one task, larger ones (and those of long texts) as blocks against blocks, so no task holds more
+than two blocks.
 Only verified pairs count as links and tie components.
 
 Cases: null, empty and blank texts have empty sets and link with nothing; repeated rows and equal texts are
@@ -44,6 +45,8 @@ ALIKE = (7, 10)
 RECALL = 0.999
 SMALL = 256
 BLOCK = 128
+#: Hashes of a block's sets together, about (8 bytes each): of long texts a block holds fewer.
+BLOCK_HASHES = 1 << 20
 #: Rows of a table that may be broadcast: paths, or members of groups (16 bytes each).
 MOST_BROADCAST = 500_000
 
@@ -109,15 +112,16 @@ def paths_of(minhashes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, key (null for an empty set), alike (the minhashes' low bytes), paths."""
+    """doc_id, key (null for an empty set), size, alike (the minhashes' low bytes), paths."""
 
     def made():
         chosen = _first_coordinates()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            key, alike, paths = [], [], []
+            key, size, alike, paths = [], [], [], []
             for text in texts(batch):
                 own = shingles(text)
+                size.append(len(own))
                 if len(own):
                     m = embedded(own)
                     key.append(key_of(own))
@@ -127,11 +131,11 @@ def _sets(docs: DataFrame) -> DataFrame:
                     key.append(None)
                     alike.append(None)
                     paths.append(None)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array(alike, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "key", "alike", "paths"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(alike, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "key", "size", "alike", "paths"])
 
         return f
 
-    return docs.mapInArrow(over_batches(made), "doc_id long, key long, alike binary, paths array<long>")
+    return docs.mapInArrow(over_batches(made), "doc_id long, key long, size long, alike binary, paths array<long>")
 
 
 def key_of(own: np.ndarray) -> int:
@@ -266,13 +270,14 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = written(_sets(docs), "sets")
-    classes = written(sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.any_value("alike").alias("alike"), F.any_value("paths").alias("paths")), "classes")
+    classes = written(sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.any_value("size").alias("size"), F.any_value("alike").alias("alike"), F.any_value("paths").alias("paths")), "classes")
     tied = written(candidates(classes), "tied")  # so that no task runs two Python steps at once
     group = components(tied).withColumnRenamed("v", "key").withColumnRenamed("root", "group")
-    group = written(classes.select("key", "rep", "weight").join(group, "key"), "groups")  # without the nodes of paths
-    sizes = written(group.groupBy("group").count().filter("count > 1"), "sizes")
+    group = written(classes.select("key", "rep", "weight", "size").join(group, "key"), "groups")  # without the nodes of paths
+    sizes = written(group.groupBy("group").agg(F.count("*").alias("count"), F.sum("size").alias("hashes")).filter("count > 1"), "sizes")
     few = _small_enough(group)
-    member = spread_join(group, sizes, "group").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.least(F.ceil(F.col("hashes") / BLOCK_HASHES), F.col("count"))).cast("int")
+    member = spread_join(group.drop("size"), sizes, "group").withColumn("blocks", blocks).drop("count", "hashes")
     member = written(member, "members")
     found = docs.join(F.broadcast(member) if few else member, docs["doc_id"] == member["rep"])
 
