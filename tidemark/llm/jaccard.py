@@ -47,6 +47,8 @@ SMALL = 256
 BLOCK = 128
 #: Hashes of a block's sets together, about (8 bytes each): of long texts a block holds fewer.
 BLOCK_HASHES = 1 << 20
+#: Sets that a task compares, about, while there are shuffle partitions enough.
+TASK_SETS = 512
 #: Rows of a table that may be broadcast: paths, or members of groups (16 bytes each).
 MOST_BROADCAST = 500_000
 
@@ -298,8 +300,12 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     own = own.withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")
-    rows = own.select(F.xxhash64("group", low, high).alias("unit"), (low != high).alias("cross"), "side", "key", "weight", "own")
-    rows = rows.repartition("unit").sortWithinPartitions("unit", "key")
+    # a large group's units are numbered, so that they are dealt evenly and not by chance
+    total = member.agg(F.sum("blocks")).first()[0] or 0
+    tasks = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SETS)))
+    task = F.pmod(F.pmod(F.xxhash64("group"), F.lit(tasks)) + low * F.col("blocks") + high, F.lit(tasks)).cast("int")
+    rows = own.select(task.alias("task"), F.xxhash64("group", low, high).alias("unit"), (low != high).alias("cross"), "side", "key", "weight", "own")
+    rows = rows.repartitionById(tasks, "task").drop("task").sortWithinPartitions("unit", "key")
     checked = written(rows.mapInArrow(_verify, "a long, b long, links long"), "links")
     degree = checked.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     root = components(checked.filter("b is not null").select("a", "b")).withColumnRenamed("v", "key")
