@@ -7,8 +7,9 @@ strongest bin is a peak where it tops the band in the frames before and after; a
 the peaks of its band in the next FAN frames. A pair is code = bin | bin | distance and time = frame
 of its first peak, kept as two arrays of equal length in order of time.
 
-Cases: null texts count as empty (64 zero bytes, no peaks); equal texts give equal values; repeated
-rows give repeated rows; an empty table gives an empty result; other columns are not read.
+Cases: null texts count as empty (64 zero bytes, no peaks); equal texts give equal values; of equal bins the lowest is the
+peak, of equal frames the later; very long texts are stored whole and transformed in blocks of frames; repeated rows give
+repeated rows; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ log-odds of their n-grams, and later by the network itself; the fit ends with a
 It uses at most MOST_TOXIC + MOST_CLEAN labelled documents of at most FIT_CHARS characters, chosen by hash:
 this bounds the fit alone. Scoring reads whole texts, and only texts.
 
-Cases: null, empty and blank texts get the score of an empty window; rows whose label is null don't train;
+Cases: null, empty and blank texts get the score of an empty window; very long texts are scored in pieces that share
+windows' words; a score of `reject` itself is rejected; rows whose label is null don't train;
 without labelled rows of both kinds every score is the known share of toxic rows (0 without any); repeated
 rows give repeated rows; an empty table gives an empty result; other columns are carried by `without_toxic`.
 """
