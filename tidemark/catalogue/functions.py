@@ -55,14 +55,14 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "fn_vector_knn": ("select vec_id from embeddings order by embedding <-> (select embedding from embeddings where vec_id = 3), vec_id limit 10", "select vec_id from embeddings order by list_distance(embedding::double[], (select embedding::double[] from embeddings where vec_id = 3)), vec_id limit 10"),
     "fn_vector_literal": ("select l1_distance('[1,2,3]'::vector, '[2,4,6]'::vector) as a, inner_product('[1,2]'::vector, '[3,4]'::vector) as b, vector_dims('[1,2,3]'::vector) as c, array_to_string(subvector('[1,2,3,4]'::vector, 2, 2)::int[], ',') as d, array_to_string(('[1,2]'::vector + '[3,4]'::vector)::int[], ',') as e", "select 6.0::double as a, 11.0::double as b, 3 as c, '2,3' as d, '4,6' as e"),
     "fn_range": ("select int4range(1, 10) @> 5 as a, int4range(1, 10) @> 10 as b, int4range(1, 10, '[]') @> 10 as c, float8range(1.0, 2.5) @> 0.5 as d, (point(1, 2)).x as e", "select true as a, false as b, true as c, false as d, 1.0::double as e"),
-    "fn_system": ("select pg_typeof(1) as a, pg_typeof('x'::text) as b, pg_typeof(1.5::float8) as c, pg_input_is_valid('12', 'int4') as d, pg_input_is_valid('x', 'int4') as e, pg_size_pretty(123456789::bigint) as f, has_table_privilege('t', 'select') as g, current_user is not null as h, version() like 'PostgreSQL%' as i", "select 'integer' as a, 'text' as b, 'double precision' as c, true as d, false as e, '118 MB' as f, true as g, true as h, true as i"),
+    "fn_system": ("select pg_typeof(1) as a, pg_typeof('x'::text) as b, pg_typeof(1.5::float8) as c, pg_input_is_valid('12', 'int4') as d, pg_input_is_valid('x', 'int4') as e, pg_size_pretty(123456789::bigint) as f, has_table_privilege('nation', 'select') as g, current_user is not null as h, version() like 'PostgreSQL%' as i", "select 'integer' as a, 'text' as b, 'double precision' as c, true as d, false as e, '118 MB' as f, true as g, true as h, true as i"),
     "fn_uuid_url": ("select uuid_generate_v5('6ba7b810-9dad-11d1-80b4-00c04fd430c8', 'example.org') as a, uuid_nil() as b, urlencode('a b&c') as c, to_tsvector('the cat') as d", "select 'aad03681-8b63-5304-89e0-8ca8f49461b5' as a, '00000000-0000-0000-0000-000000000000' as b, 'a+b%26c' as c, 'the cat' as d"),
     "fn_literals": ("select 0x1F as a, 1_000 as b, E'a\\tb' as c, U&'\\0041' as d, $$it's$$ as e, 0b101 as f", "select 31 as a, 1000 as b, 'a\tb' as c, 'A' as d, 'it''s' as e, 5 as f"),
     "fn_jsonb_names": ("select jsonb_build_object('a', 1) as a, jsonb_build_array(1, 'x') as b, to_jsonb(5) as c, jsonb_object(array['k', 'v']) as d, jsonb_extract_path('{\"a\":{\"b\":3}}', 'a', 'b') as e, jsonb_extract_path_text('{\"a\":{\"b\":\"q\"}}', 'a', 'b') as f, jsonb_array_length('[1,2]') as g, jsonb_typeof('[1]') as h, json_strip_nulls('{\"a\":null,\"b\":[null,1]}') as i, jsonb_strip_nulls('{\"b\":[null,1]}', true) as j", "select '{\"a\":1}' as a, '[1,\"x\"]' as b, '5' as c, '{\"k\":\"v\"}' as d, '3' as e, 'q' as f, 2 as g, 'array' as h, '{\"b\":[null,1]}' as i, '{\"b\":[1]}' as j"),
     "fn_jsonb_calls": ("select jsonb_exists_any('{\"a\":1}', array['x', 'a']) as a, jsonb_exists_all('{\"a\":1}', array['x', 'a']) as b, jsonb_concat('[1]', '[2]') as c, jsonb_contains('[1,2]', '[2]') as d, jsonb_contained('[3]', '[1,2]') as e, jsonb_delete_path('{\"a\":{\"b\":1}}', '{a,b}') as f, jsonb_populate_record_valid(null, '{}') as g, length(json_pretty('{\"a\":1}')) as h, jsonb_pretty('[]') as i", "select true as a, false as b, '[1, 2]' as c, true as d, false as e, '{\"a\": {}}' as f, true as g, 14 as h, '[]' as i"),
     "fn_vector_named": ("select vec_id, round(l2_distance(embedding, embedding), 6) as a, abs(round(cosine_distance(embedding, embedding), 6)) as b, round(negative_inner_product(embedding, embedding), 4) as c, vector_dims(vector_concat(embedding, embedding)) as d, cardinality(vector_to_float4(embedding)) as e from embeddings", "select vec_id, 0.0::double as a, 0.0::double as b, round(-list_dot_product(embedding::double[], embedding::double[]), 4) as c, (2 * len(embedding))::int as d, len(embedding)::int as e from embeddings"),
-    "fn_system_constants": ("select current_database() is not null as a, current_schema() is not null as b, session_user is not null as c, pg_backend_pid() > 0 as d, pg_column_size('abc') > 0 as e, pg_relation_size('t') as f, pg_total_relation_size('t') as g, pg_get_userbyid(10) as h, has_column_privilege('t', 'c', 'select') as i, has_schema_privilege('s', 'usage') as j, pg_table_is_visible(1) as k, pg_type_is_visible(1) as l, pg_get_expr('x', 1) is null as m, obj_description(1) is null as n, col_description(1, 1) is null as o, shobj_description(1, 'x') is null as p, pg_lsn('0/1') as q, format_type(23, -1) is not null as r, pg_column_compression('x') is null as s, float8_combine(1, 2) is null as t, float8_regr_combine(1, 2) is null as u, current_catalog is not null as v, user is not null as w",
-        "select true as a, true as b, true as c, true as d, true as e, 0::bigint as f, 0::bigint as g, 'postgres' as h, true as i, true as j, true as k, true as l, true as m, true as n, true as o, true as p, '0/1' as q, true as r, true as s, true as t, true as u, true as v, true as w"),
+    "fn_system_constants": ("select current_database() is not null as a, current_schema() is not null as b, session_user is not null as c, pg_backend_pid() > 0 as d, pg_column_size('abc') > 0 as e, pg_relation_size('nation') > 0 as f, pg_total_relation_size('nation') > 0 as g, pg_get_userbyid(10) as h, has_column_privilege('nation', 'n_name', 'select') as i, has_schema_privilege('public', 'usage') as j, pg_table_is_visible(1) as k, pg_type_is_visible(1) as l, pg_get_expr('x', 1) = 'x' as m, obj_description(1) is null as n, col_description(1, 1) is null as o, shobj_description(1, 'x') is null as p, pg_lsn('0/1') as q, format_type(23, -1) is not null as r, pg_column_compression('x') is null as s, float8_combine(1, 2) is null as t, float8_regr_combine(1, 2) is null as u, current_catalog is not null as v, user is not null as w",
+        "select true as a, true as b, true as c, true as d, true as e, true as f, true as g, 'postgres' as h, true as i, true as j, true as k, true as l, true as m, true as n, true as o, true as p, '0/1' as q, true as r, true as s, true as t, true as u, true as v, true as w"),
     "fn_text_search_and_rest": ("select tsquery('cat') as a, ts_headline('the cat', 'cat') as b, json_to_tsvector('{}') as c, jsonb_to_tsvector('{}') as d, length(uuid_generate_v1()) as e, length(uuid_generate_v1mc()) as f, encode(set_byte('abc'::bytea, 1, 65), 'hex') as g, int8range(1, 5) @> 3 as h, numrange(1, 5, '(]') @> 1 as i, textrange('a', 'c') @> 'b' as j, boolgt(true, false) as k, boolle(false, false) as l, transaction_timestamp() is not null as m, localtime is not null as n", "select 'cat' as a, 'the cat' as b, '{}' as c, '{}' as d, 36 as e, 36 as f, '614163' as g, true as h, false as i, true as j, true as k, true as l, true as m, true as n"),
     "fn_at_time_zone": ("select timestamp '2024-07-01 12:00:00' at time zone 'America/New_York' as a, timestamp '2024-01-01 00:30:00' at time zone 'Asia/Tokyo' as b", "select timestamp '2024-07-01 16:00:00' as a, timestamp '2023-12-31 15:30:00' as b"),
     "doc_words": ("select lang, count(*) as n, sum(array_length(regexp_split_to_array(text, '\\s+'), 1))::bigint as words from documents group by lang", "select lang, count(*) as n, sum(len(regexp_split_to_array(text, '\\s+')))::bigint as words from documents group by lang"),

@@ -81,6 +81,7 @@ SCRIPTS = {
     "populate_valid": ("", "create type pt as (a int, b text)", "select jsonb_populate_record_valid(null::pt, '{\"a\": 5}') as a, jsonb_populate_record_valid(null::pt, '{\"a\": \"z\"}') as b, jsonb_populate_record_valid(null::pt, '{bad') as c, jsonb_populate_record_valid(null::pt, '{\"q\": 1}') as d", "select true as a, false as b, false as c, true as d"),
     "privileges": ("nation region", "create role bob; create role staff; grant select, insert on nation to bob; grant staff to bob; grant all on region to staff; revoke insert on nation from bob", "select has_table_privilege('bob', 'nation', 'select') as a, has_table_privilege('bob', 'nation', 'insert') as b, has_table_privilege('bob', 'region', 'update') as c, has_column_privilege('bob', 'region', 'r_name', 'select') as d, has_schema_privilege('bob', 'public', 'usage') as e, has_table_privilege('region', 'delete') as f", "select true as a, false as b, true as c, true as d, true as e, true as f"),
     "sizes": ("nation", "", "select pg_relation_size('nation') > 500 as a, pg_total_relation_size('nation') = pg_relation_size('nation') as b, octet_length(gen_random_bytes(100)) as c, octet_length(gen_random_bytes(0)) as d, pg_sleep(0.01) is null as e", "select true as a, true as b, 100 as c, 0 as d, true as e"),
+    "password_hashes": ("region", "", "select crypt('U*U', '$2a$05$CCCCCCCCCCCCCCCCCCCCC.') as a, crypt('password', '$1$saltsalt$') as b, (select bool_and(crypt(r_name, h) = h and crypt(r_name || 'x', h) <> h) from (select r_name, crypt(r_name, gen_salt('md5')) as h from region) as t) as c, crypt('pw', crypt('pw', gen_salt('bf', 4))) like '$2a$04$%' as d, crypt(null, 'x') as e, length(crypt('x', gen_salt('sha512crypt'))) as f", "select '$2a$05$CCCCCCCCCCCCCCCCCCCCC.E5YPO9kmyuRGyh0XouQYb4YMJKvyOeW' as a, '$1$saltsalt$qjXMvbEw8oaL.CzflDtaK/' as b, true as c, true as d, null as e, 106 as f"),
     "format_types": ("nation", "", "select attname as a, format_type(atttypid, null) as b from pg_attribute", "select * from (values ('n_nationkey', 'integer'), ('n_name', 'text'), ('n_regionkey', 'integer')) as v(a, b)"),
     "viewdef": ("region", "create view v as select r_name from region", "select pg_get_viewdef('v') as a", "select 'select r_name from region' as a"),
     "text_codes": ("customer", "", "select ascii(c_name) as a, chr(64 + c_nationkey + 1) as b, format('%s has %L', c_name, c_mktsegment) as c, abs(c_acctbal) as d, round(cast(c_acctbal as numeric(12, 4)), 1) as e from customer", "select ascii(c_name) as a, chr(64 + c_nationkey + 1) as b, c_name || ' has ''' || c_mktsegment || '''' as c, abs(c_acctbal) as d, round(cast(c_acctbal as decimal(12, 4)), 1) as e from customer"),
