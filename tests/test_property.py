@@ -40,3 +40,16 @@ def test_filtered_aggregates(e, parts):
 
 def _near(a, b):
     return all((x is None) == (y is None) and (x is None or str(x) == str(y) or abs(float(x) - float(y)) < 1e-6) for x, y in zip(a, b, strict=True))
+
+
+def test_password_hashes_match_known_ones():
+    from tidemark.functions.crypt import crypt, gen_salt
+
+    for password, known in (
+        ("U*U", "$2a$05$CCCCCCCCCCCCCCCCCCCCC.E5YPO9kmyuRGyh0XouQYb4YMJKvyOeW"), ("U*U*", "$2a$05$CCCCCCCCCCCCCCCCCCCCC.VGOzA784oUp/Z0DY336zx7pLYAy0lwK"), ("U*U*U", "$2a$05$XXXXXXXXXXXXXXXXXXXXXOAcXxm9kjPGEMsLznoKqmqw7tc8WCx4a"),
+        ("password", "$1$saltsalt$qjXMvbEw8oaL.CzflDtaK/"),
+    ):
+        assert crypt(password, known) == known
+    for kind in ("md5", "sha256crypt", "sha512crypt"):
+        made = crypt("pw", gen_salt(kind))
+        assert crypt("pw", made) == made != crypt("pW", made)

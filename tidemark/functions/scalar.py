@@ -69,7 +69,8 @@ STRING = {
     "sha384": {1: ("sha2({0}, 384)", "text")},
     "sha512": {1: ("sha2({0}, 512)", "text")},
     "digest": {1: ("sha2({0}, 256)", "text"), 2: ("case lower({1}) when 'md5' then md5({0}) when 'sha1' then sha1({0}) when 'sha224' then sha2({0}, 224) when 'sha256' then sha2({0}, 256) when 'sha384' then sha2({0}, 384) when 'sha512' then sha2({0}, 512) end", "text")},
-    "hmac": {3: ("pg_hmac({0}, {1}, {2})", "text")},
+    "hmac": {3: ("pg_hmac({0}, {1}, {2})", "text")}, "crypt": {2: ("pg_crypt({0}, {1})", "text")},
+    "gen_salt": {1: ("pg_gen_salt({0}, -1, rand())", "text"), 2: ("pg_gen_salt({0}, {1}, rand())", "text")},
     "crc32": {1: ("crc32(cast({0} as binary))", "bigint")},
     "crc32c": {1: ("pg_crc32c(cast({0} as binary))", "bigint")},
     "get_byte": {2: ("conv(hex(substring({0}, {1} + 1, 1)), 16, 10)::int", "int")},
