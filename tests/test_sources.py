@@ -207,10 +207,13 @@ def test_event_windows_on_a_stream(spark, sf, tmp_path):
     assert sorted(map(tuple, spark.table("ev_out").collect())) == sorted(map(tuple, cdc.event_windows(events, "1 day").collect()))
 
 
-def test_asof_join_deals_a_hot_key(spark):
+@pytest.mark.parametrize("small", [asof.SMALL, 100])
+def test_asof_join_deals_a_hot_key(spark, small, monkeypatch):
     import bisect
     import random
 
+    monkeypatch.setattr(asof, "SMALL", small)
+
     r = random.Random(2)
     left = [(i, None if r.random() < 0.05 else 1 if r.random() < 0.7 else r.randint(2, 9), r.randint(0, 3_000)) for i in range(2_000)]
     right = [(None if r.random() < 0.05 else 1 if r.random() < 0.7 else r.randint(2, 9), r.randint(0, 3_000), v) for v in range(1_500)]

@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from tidemark.operators.recursive import stored
 
 
+#: Rows of a side up to which a key is one task's.
+SMALL = 1_000_000
+
+
 def join(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """left with `value` of the last row of right with the same key and no later time; ties take the greatest value, null keys none.
 
     Rows are ranged by key and time, so a key of any size is dealt to as many tasks as it fills. Within a range the
     last value is a window; a key that goes on in the next range takes its last value along, one row for each range.
+    Up to SMALL rows a side, where one task can hold the largest key, a window for each key is enough.
     """
     side, own, part, carried, going = _unused([*left.columns, *right.columns], "__side", "__value", "__part", "__carried", "__going")
     both = left.withColumn(side, F.lit(1)).withColumn(own, F.lit(None).cast(right.schema[value].dataType))
     other = right.filter(F.col(key).isNotNull()).select(key, time, F.lit(0).alias(side), F.col(value).alias(own))
     order = [F.col(time).asc_nulls_first(), F.col(side).asc(), F.col(own).asc_nulls_last()]
-    stacked = both.unionByName(other, allowMissingColumns=True).repartitionByRange(F.col(key).asc_nulls_first(), *order)
+    stacked = both.unionByName(other, allowMissingColumns=True)
+    if all(df.limit(SMALL + 1).count() <= SMALL for df in (right, left)):
+        whole = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = stacked.withColumn(carried, F.last(own, ignorenulls=True).over(whole)).filter(F.col(side) == 1)
+        return out.select(*left.columns, F.col(carried).alias(value))
+    stacked = stacked.repartitionByRange(F.col(key).asc_nulls_first(), *order)
     rows = stored(stacked.withColumn(part, F.spark_partition_id()), "asof")
     within = Window.partitionBy(part, key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     last = F.max_by(F.when(F.col(own).isNotNull(), F.col(own)), F.when(F.col(own).isNotNull(), F.struct(time, own)))
