@@ -120,3 +120,15 @@ def test_range_joins_shuffle_on_buckets(spark, sf):
     assert "NestedLoop" in text(plain) and "NestedLoop" not in text(banded) and "Cartesian" not in text(banded)
     assert plain.first() == banded.first()
     assert "NestedLoop" not in text(e.query("select o.*, c.c_custkey from orders o join customer c on o.o_custkey = c.c_custkey and o.o_totalprice > c.c_acctbal and o.o_totalprice < c.c_acctbal + 9"))
+
+
+def test_correlated_limit_keeps_the_order_of_hidden_keys(e):
+    text = lambda sql: e.query(sql)._jdf.queryExecution().optimizedPlan().toString()
+    one = "select o_orderkey from orders o where o.o_custkey = n.k order by o_totalprice desc, o_orderkey limit 1"
+    for sql in (f"select n.k, x.o_orderkey from (select distinct o_custkey as k from orders) as n cross join lateral ({one}) as x", f"select n.k, ({one}) as v from (select distinct o_custkey as k from orders) as n"):
+        numbered = [line for line in text(sql).splitlines() if "row_number()" in line]
+        assert not numbered or "DESC NULLS FIRST" in numbered[0], sql
+    rows = e.query(f"select n.k, x.o_orderkey, (select max(o_totalprice) from orders o where o.o_custkey = n.k) as p from (select distinct o_custkey as k from orders) as n cross join lateral ({one}) as x").collect()
+    prices = {r["o_orderkey"]: r["o_totalprice"] for r in e.query("select o_orderkey, o_totalprice from orders").collect()}
+    assert rows and all(prices[r["o_orderkey"]] == r["p"] for r in rows)
+    assert e.query("select x.* from (select distinct o_custkey as k from orders) as n cross join lateral (select distinct on (o_orderstatus) o_orderkey, o_orderstatus from orders o where o.o_custkey = n.k order by o_orderstatus, o_totalprice limit 1) as x").columns == ["o_orderkey", "o_orderstatus"]
