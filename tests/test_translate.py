@@ -132,3 +132,20 @@ def test_correlated_limit_keeps_the_order_of_hidden_keys(e):
     prices = {r["o_orderkey"]: r["o_totalprice"] for r in e.query("select o_orderkey, o_totalprice from orders").collect()}
     assert rows and all(prices[r["o_orderkey"]] == r["p"] for r in rows)
     assert e.query("select x.* from (select distinct o_custkey as k from orders) as n cross join lateral (select distinct on (o_orderstatus) o_orderkey, o_orderstatus from orders o where o.o_custkey = n.k order by o_orderstatus, o_totalprice limit 1) as x").columns == ["o_orderkey", "o_orderstatus"]
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_lateral_aggregates_past_a_bound_compare_no_pairs(spark, op):
+    rows = [(1, 2.5), (1, None), (None, 3.0), (1, 9.0), (2, 2.5), (1, 2.5), (7, 1.0)]
+    e = Engine(spark)
+    for t in "ab":
+        e.sql(f"create table {t} as select * from (values {', '.join(str(r).replace('None', 'null') for r in rows)}) as t(k, v)")
+    df = e.query(f"select x.*, a.k, a.v from a left join lateral (select count(*), sum(b.v) as t, min(b.v) as lo from b where b.k = a.k and b.v {op} a.v) as x(n) on true")
+    test = {"<": float.__lt__, "<=": float.__le__, ">": float.__gt__, ">=": float.__ge__}[op]
+    want = []
+    for k, v in rows:
+        met = [float(w) for j, w in rows if None not in (j, k, v, w) and j == k and test(float(w), float(v))]
+        want.append((len(met), sum(met) if met else None, min(met, default=None), k, v))
+    assert df.columns == ["n", "t", "lo", "k", "v"]
+    assert sorted((tuple(None if x is None else float(x) for x in r) for r in df.collect()), key=repr) == sorted((tuple(None if x is None else float(x) for x in r) for r in want), key=repr)
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
