@@ -254,3 +254,16 @@ def test_merge_plan_needs_no_cartesian(spark):
     t = spark.createDataFrame([(1, 1)], "k int, v int")
     plan = dml.merge(t, "t", t, "s", "t.k = s.k", [dml.Clause("matched", "update", sets={"v": "s.v + 1"})])._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_sessions_of_a_stream_are_grouped_after_the_shuffle(spark, tmp_path):
+    rows = spark.sql("select id % 7 as user_id, timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 20 * (id div 7) * (id div 70)) as ts from range(210)")
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = cdc.sessions(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "2 hours")
+    out = stream.writeStream.format("memory").queryName("grouped_sessions").outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    plan = out._jsq.explainInternal(False)
+    below = plan[plan.rindex("Exchange hashpartitioning(user_id") :]
+    assert "Aggregate" not in below and plan.count("Exchange") == 1
+    closed = {tuple(r) for r in spark.table("grouped_sessions").collect()}
+    assert closed and closed <= {tuple(r) for r in cdc.sessions(rows, "2 hours").collect()}

@@ -360,16 +360,16 @@ def stream_session_windows(spark, sf_dir):
     """Sessions on a stream of the whole table, complete at its end."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     at = _folder(spark, "events")
-    events.select("user_id", "ts").repartition(1).write.parquet(at)
+    events.select("user_id", "ts").write.parquet(at)  # files of one batch: rows of a later one could be late
     last = events.select("user_id", "ts").limit(1).withColumn("user_id", F.lit(-1).cast(events.schema["user_id"].dataType)).withColumn("ts", F.expr("timestamp_ntz '2100-01-01'").cast(events.schema["ts"].dataType))
-    stream = spark.readStream.schema(events.select("user_id", "ts").schema).option("maxFilesPerTrigger", 1).parquet(at)
+    stream = spark.readStream.schema(events.select("user_id", "ts").schema).parquet(at)
     name = f"s{uuid.uuid4().hex}"
     sessions = cdc.sessions(stream, "2 hours")
     out = sessions.writeStream.format("parquet").option("path", f"{at}-out").option("checkpointLocation", f"{at}-{name}").outputMode("append").trigger(availableNow=True).start()
-    out.awaitTermination(180)
+    out.awaitTermination()
     last.coalesce(1).write.mode("append").parquet(at)  # a late row of its own closes all sessions
     out = sessions.writeStream.format("parquet").option("path", f"{at}-out").option("checkpointLocation", f"{at}-{name}").outputMode("append").trigger(availableNow=True).start()
-    out.awaitTermination(180)
+    out.awaitTermination()
     return spark.read.parquet(f"{at}-out")
 
 

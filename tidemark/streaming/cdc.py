@@ -96,9 +96,13 @@ def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = N
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", time: str = "ts", key: str = "user_id") -> DataFrame:
-    """Sessions of each key: rows closer than the gap belong together."""
+    """Sessions of each key: rows closer than the gap belong together.
+
+    A stream's rows are dealt by key first: nearly every row is a session of its own until it meets the others of its
+    key, so grouping a file's rows before the shuffle holds them all and saves none.
+    """
     rows = events.withColumn(time, F.col(time).cast("timestamp"))
-    rows = rows.withWatermark(time, late) if events.isStreaming else rows
+    rows = rows.withWatermark(time, late).repartition(key) if events.isStreaming else rows
     return rows.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
