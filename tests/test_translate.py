@@ -149,3 +149,18 @@ def test_lateral_aggregates_past_a_bound_compare_no_pairs(spark, op):
     assert df.columns == ["n", "t", "lo", "k", "v"]
     assert sorted((tuple(None if x is None else float(x) for x in r) for r in df.collect()), key=repr) == sorted((tuple(None if x is None else float(x) for x in r) for r in want), key=repr)
     assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_range_joins_of_many_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    from tidemark import engine
+
+    monkeypatch.setattr(engine, "PAIRS_A_TASK", 20_000, raising=False)
+    monkeypatch.setattr(engine, "POINTS_A_SHARE", 100, raising=False)
+    e = Engine(spark)
+    e.sql("set nested_loop_rows = 10; create table p as select id as k, case when id % 3 = 0 then null else id % 2 end as v from generate_series(1, 2000) as t(id); create table i as select id as j, id % 2 - 0.5::float8 as lo from generate_series(1, 200) as t(id)")
+    df = e.query("select * from p join i on p.v >= i.lo and p.v < i.lo + 1.5 and p.k <> i.j")
+    want = e.query("select count(*) from p, i where abs(v - lo - 0.75) <= 0.75 and v < lo + 1.5 and k <> j").first()[0]
+    rows = df.collect()
+    assert df.columns == ["k", "v", "j", "lo"] and len(rows) == len({(r["k"], r["j"]) for r in rows}) == want
+    sizes = [n for n in df.rdd.glom().map(len).collect() if n]
+    assert len(sizes) > 2 and max(sizes) < want / 2

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 import json
+import math
 import re
 import time
 import uuid
@@ -28,6 +29,8 @@ from tidemark.session import ship
 
 #: Rows of the smaller side up to which a range join compares all pairs, and buckets that an interval of it covers at most.
 NESTED_LOOP_ROWS, MOST_BUCKETS = 1_000, 1_000
+#: Of a range join: pairs that a task compares, points that share an interval's copy at least, and tasks at most (above, each compares more).
+PAIRS_A_TASK, POINTS_A_SHARE, MOST_TASKS = 4_000_000, 1_000, 20_000
 
 #: PostgreSQL's reserved words.
 RESERVED = set("all analyse analyze and any array as asc asymmetric both case cast check collate column constraint create current_catalog current_date current_role current_time current_timestamp current_user default deferrable desc distinct do else end except false fetch for foreign from grant group having in initially intersect into lateral leading limit localtime localtimestamp not null offset on only or order placing primary references returning select session_user some symmetric system_user table then to trailing true union unique user using variadic when where window with".split())
@@ -297,6 +300,18 @@ class Engine:
             return None
         return max(mean, most / MOST_BUCKETS) or 1.0
 
+    def band_tasks(self, points: str, intervals: str, band: str, bands: str) -> tuple[int, int]:
+        """Into how many tasks, and shares of a bucket's points, a range join is dealt so that a task compares about PAIRS_A_TASK pairs; (1, 1) if one task does.
+
+        The pairs, mostly rows of the result, grow with the product of both sides; small inputs would leave them to one task.
+        """
+        met = f"FROM (SELECT {band} AS b, count(*) AS n FROM {points} GROUP BY 1) AS p JOIN (SELECT b, count(*) AS m FROM (SELECT {bands} AS b FROM {intervals}) GROUP BY 1) AS i USING (b)"
+        pairs, most, held = self.spark.sql(f"SELECT sum(cast(n AS double) * m), max(cast(n AS double) * m), max(n) {met}").first()
+        tasks = math.ceil((pairs or 0) / PAIRS_A_TASK)
+        if tasks <= 1:
+            return 1, 1
+        return min(tasks, MOST_TASKS), max(1, min(math.ceil(most / PAIRS_A_TASK), math.ceil(held / POINTS_A_SHARE)))
+
     def fields(self, struct: str) -> list[tuple[str, str]]:
         return [(f.name, f.dataType.simpleString()) for f in T.StructType.fromDDL(f"`x` {struct}")[0].dataType]
 
