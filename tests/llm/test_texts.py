@@ -302,6 +302,37 @@ def test_toxicity_long_text_scores_like_its_windows():
         assert abs(whole[k] - part) < 1e-4
 
 
+def test_toxicity_texts_in_a_row_score_like_their_windows(monkeypatch):
+    r, net = random.Random(8), toxicity.Network(2)
+    net.p["words"] += np.random.default_rng(2).standard_normal(net.p["words"].shape).astype(np.float32)
+    edge = toxicity.BLOCK * toxicity.STRIDE
+    docs = [[f"w{r.randrange(5_000)}" for _ in range(n)] for n in (0, 1, 15, 16, 17, 0, 31, 32, 33, 48, 49, 500, edge - 1, edge, edge + 1, edge + 16, edge + 17, 3, 0)]
+    monkeypatch.setattr(toxicity, "REMEMBERED", 2_000)  # words are forgotten on the way
+    got = toxicity.Vocabulary(net).logits(docs)
+    assert [len(x) for x in got] == [len(toxicity.window_starts(len(d))) for d in docs]
+    for words, x in zip(docs, got, strict=True):
+        known = sorted(set(words)) or ["none"]
+        place = {w: k for k, w in enumerate(known)}
+        inputs = net.inputs(np.array([toxicity.word_of(w) for w in known]), *toxicity.grams_of(known))
+        windows = toxicity._filled(np.array([place[w] for w in words], np.int32))
+        gates, mask = net.projected(inputs)[windows] * (windows >= 0)[..., None], windows >= 0
+        mask[:, 0] = True
+        assert np.abs(net.forward(gates, mask) - x).max() < 1e-4
+
+
+def test_toxicity_words_of_many_texts_are_handled_once_and_together(monkeypatch):
+    asked, plain, net = [], toxicity.grams_of, toxicity.Network(1)
+    monkeypatch.setattr(toxicity, "grams_of", lambda words: asked.append(list(words)) or plain(words))
+    texts = [" ".join(f"w{k}x{i}" for i in range(20)) + " common words of all" for k in range(64)]
+    assert len(toxicity._scorer(net)(texts)) == 64
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0])) == 64 * 20 + 4  # not a call for each text
+    asked.clear()
+    own = toxicity.Vocabulary(net)
+    for _ in range(2):
+        own.logits([[f"w{i}" for i in range(a, a + 1_500)] for a in range(0, 150_000, 1_500)])
+    assert sum(map(len, asked)) == 150_000  # and none again
+
+
 def test_toxicity_learns(docs, awkward, nothing, spark):
     r = random.Random(4)
     word = lambda: "".join(r.choices(["an", "er", "ti", "on", "sh", "le"], k=r.randint(1, 3)))

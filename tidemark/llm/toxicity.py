@@ -19,8 +19,10 @@ rows give repeated rows; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import operator
 import zlib
+from collections import defaultdict
+from collections.abc import Iterable
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +42,12 @@ EPOCHS, BATCH, RATE, DROP = 10, 128, 0.01, 0.4
 REPEAT = 0.4
 SEED = 11
 REJECT = 0.3
-#: Distinct words a worker remembers (48 numbers each).
-REMEMBERED = 100_000
+#: Distinct words a worker remembers (17 numbers each), but for those of the last windows.
+REMEMBERED = 150_000
 #: Words whose n-grams are handled at a time.
-CHUNK = 8_192
-#: Windows that are scored at a time.
-BLOCK = 1_024
+CHUNK = 2_048
+#: Windows whose words are looked up at a time, and those that are scored at a time.
+BLOCK, SIDE = 2_048, 1_024
 
 
 def words_of(text: str) -> list[str]:
@@ -60,28 +62,33 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(words) > CHUNK:
         parts = [grams_of(words[a : a + CHUNK]) for a in range(0, len(words), CHUNK)]
         return np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
-    raw = [b"\x02" + w.encode() + b"\x03" for w in words]
-    size = np.array([len(w) for w in raw])
-    flat, end = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64), np.repeat(np.cumsum(size), size)
-    at, found, owner = np.arange(len(flat)), [], []
-    word = np.repeat(np.arange(len(words)), size)
+    raw = [w.encode() for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) + 2
+    flat = np.frombuffer(b"\x02" + b"\x03\x02".join(raw) + b"\x03", np.uint8).astype(np.uint64)
+    each = [np.maximum(size - n + 1, 0) for n in SIZES]
+    many = sum(each)
+    end, place = np.repeat(np.cumsum(size), size), np.cumsum(many) - many - (np.cumsum(size) - size)  # where a word's n-grams go, less where its bytes are
+    at, out = np.arange(len(flat)), np.empty(many.sum(), np.int32)
     h = flat + np.uint64(1)
     for n in range(2, max(SIZES) + 1):
         h = h[:-1] * np.uint64(0x100000001B3) + flat[n - 1 :] + np.uint64(1)
         if n in SIZES:
-            inside = np.flatnonzero(at[: len(h)] + n <= end[: len(h)])
+            inside = at[: len(h)] + n <= end[: len(h)]
+            own = each[SIZES.index(n)]
             x = h[inside] * np.uint64(0x9E3779B97F4A7C15)
-            found.append((x >> np.uint64(40)) % np.uint64(GRAMS))
-            owner.append(word[inside])
-    owner_all = np.concatenate(owner)
-    order = np.argsort(owner_all, kind="stable")
-    return np.concatenate(found)[order].astype(np.int32), np.bincount(owner_all, minlength=len(words))
+            out[at[: len(h)][inside] + np.repeat(place, own)] = (x >> np.uint64(40)) % np.uint64(GRAMS)
+            place = place + own
+    return out, many
 
 
 def word_of(word: str) -> int:
     return zlib.crc32(word.encode()) % (WORDS - 1) + 1
 
 
+def word_ids_of(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % (WORDS - 1) + 1
+
+
 def window_starts(n: int) -> range:
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
@@ -107,7 +114,7 @@ class Network:
         if len(sizes) > CHUNK:
             ends = np.concatenate([[0], np.cumsum(sizes)])
             return np.concatenate([self.inputs(word_ids[a : a + CHUNK], grams[ends[a] : ends[min(a + CHUNK, len(sizes))]], sizes[a : a + CHUNK]) for a in range(0, len(sizes), CHUNK)])
-        mean = np.add.reduceat(self.p["grams"][grams], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
+        mean = np.add.reduceat(self.p["grams"].take(grams, axis=0), np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
         return np.concatenate([self.p["words"][word_ids], mean], axis=1)
 
     def projected(self, x: np.ndarray) -> np.ndarray:
@@ -178,69 +185,123 @@ class Network:
 
 
 class Vocabulary:
-    """Remembers the gates of words for a network; forgets all when full."""
+    """Scores windows by a network, and remembers the inputs of words; forgets all when full.
 
-    def __init__(self, network: Network):
-        self.network, self.place = network, {}
-        self.gates = np.zeros((1, 6 * HIDDEN), np.float32)
-        self.used = 1  # place 0 fills windows up
+    Texts lie in a row as halves of STRIDE words, so that a window is a half and the next: a word is projected once for both windows that
+    hold it, and both directions advance together, over arrays whose last axis is the windows. A window across two texts is dropped.
+    """
 
-    def add(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.place]
-        if not new:
+    def __init__(self, network: Network):
+        self.network, p = network, network.p
+        w, u = np.empty((2, 3, HIDDEN, 2 * DIM + 1), np.float32), np.zeros((3, 2, HIDDEN, 2, HIDDEN), np.float32)
+        for k, d in enumerate("fb"):
+            w[k] = np.concatenate([p[f"w{d}"], p[f"c{d}"][None]]).T.reshape(w[k].shape)
+            u[:, k, :, k] = p[f"u{d}"].T.reshape(3, HIDDEN, HIDDEN)
+        w[:, :2] *= 0.5  # a gate's logistic is a hyperbolic tangent of half its input
+        u *= 0.5  # likewise, and half of what the reset gate takes
+        self.w, self.u = w.reshape(6 * HIDDEN, -1), u.reshape(6 * HIDDEN, -1)
+        self.seen = np.concatenate([p["a"].T, p["o"][None]])
+        self.inputs = np.zeros((1, 2 * DIM + 1), np.float32)  # the last is 1, for the constants; place 0 fills windows up
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: defaultdict[str, int] = defaultdict(count(1).__next__)  # a word looked up has a place from then on
+        self.used = 1
+
+    def learn(self) -> None:
+        """The inputs of all words that have a place but none yet."""
+        need = len(self.place) + 1
+        if need == self.used:
             return
-        if self.used + len(new) > REMEMBERED and self.used > 1:
-            self.place, self.used = {}, 1
-            new = list(words)
-        own = self.network.projected(self.network.inputs(np.array([word_of(w) for w in new]), *grams_of(new)))
-        need = self.used + len(new)
-        if need > len(self.gates):
-            grown = np.zeros((max(need, min(2 * len(self.gates), REMEMBERED)), 6 * HIDDEN), np.float32)
-            grown[: self.used] = self.gates[: self.used]
-            self.gates = grown
-        self.gates[self.used : need] = own
-        self.place.update(zip(new, range(self.used, need), strict=True))
+        new = list(islice(reversed(self.place), need - self.used))[::-1]
+        if need > len(self.inputs):
+            grown = np.zeros((max(need, min(2 * len(self.inputs), REMEMBERED)), 2 * DIM + 1), np.float32)
+            grown[: self.used] = self.inputs[: self.used]
+            self.inputs = grown
+        for a in range(0, len(new), CHUNK):
+            part = new[a : a + CHUNK]
+            own = self.inputs[self.used + a : self.used + a + len(part)]
+            own[:, :-1] = self.network.inputs(word_ids_of(part), *grams_of(part))
+            own[:, -1] = 1
         self.used = need
 
-    def logits(self, docs: list[list[str]]) -> list[np.ndarray]:
+    def logits(self, docs: Iterable[list[str]]) -> list[np.ndarray]:
         """Logits of each document's windows, in order."""
-        out: list[list[np.ndarray]] = [[] for _ in docs]
-        rows, owner = [], []
+        out: list[list[np.ndarray]] = []
+        owner, ids, halves = [], [], 0
 
         def flush() -> None:
-            got = self.windows(np.array(rows))
-            for k, x in zip(owner, got, strict=True):
-                out[k].append(x)
-            rows.clear()
+            nonlocal halves
+            self.learn()
+            flat, at = np.zeros((halves, STRIDE), np.int64), 0
+            for x, (_, n) in zip(ids, owner, strict=True):
+                flat.reshape(-1)[at * STRIDE : at * STRIDE + len(x)] = x
+                at += n + 1
+            got, at = self.windows(flat), 0
+            for k, n in owner:
+                out[k].append(got[at : at + n])
+                at += n + 1
+            ids.clear()
             owner.clear()
+            halves = 0
+            if len(self.place) > REMEMBERED:
+                self.forget()
 
         for k, words in enumerate(docs):
-            for piece in range(0, max(1, len(words)), BLOCK * STRIDE):  # long texts by pieces, so that the vocabulary bounds memory
-                part = words[piece : piece + BLOCK * STRIDE + WINDOW - STRIDE]
+            out.append([])
+            for piece in range(0, max(1, len(words)), BLOCK * STRIDE):  # long texts by pieces, so that memory stays bounded
+                part = words[piece : piece + BLOCK * STRIDE + WINDOW - STRIDE] if len(words) > BLOCK * STRIDE else words
                 if piece and len(part) <= WINDOW - STRIDE:
                     break  # its words are in the windows before
-                if rows and self.used + len(part) > REMEMBERED:
-                    flush()  # places may be dealt anew
-                place = self.place
-                if any(map(operator.not_, map(place.__contains__, part))):
-                    self.add(set(part))
-                ids = np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))
-                starts = window_starts(len(part))
-                padded = np.zeros(starts[-1] + WINDOW, np.int64)
-                padded[: len(ids)] = ids
-                rows += list(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE])
-                owner += [k] * len(starts)
-                if len(rows) >= BLOCK:
+                ids.append(np.fromiter(map(self.place.__getitem__, part), np.int64, len(part)))
+                owner.append((k, len(window_starts(len(part)))))
+                halves += owner[-1][1] + 1
+                if halves >= BLOCK:
                     flush()
-        if rows:
+        if ids:
             flush()
-        return [np.array(x) for x in out]
-
-    def windows(self, ids: np.ndarray) -> np.ndarray:
-        mask = ids > 0
-        mask[:, 0] |= ~mask.any(axis=1)  # an empty window still has one place
-        parts = [self.network.forward(self.gates[ids[a : a + BLOCK]], mask[a : a + BLOCK]) for a in range(0, len(ids), BLOCK)]
-        return np.concatenate(parts)
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+    def windows(self, halves: np.ndarray) -> np.ndarray:
+        """The logit of each half and the next, of (n, STRIDE) places of words."""
+        n = len(halves) - 1
+        parts = np.linspace(0, n, -(-n // SIDE) + 1).astype(int)
+        return np.concatenate([self._windows(np.ascontiguousarray(halves[a : b + 1].T)) for a, b in zip(parts[:-1], parts[1:], strict=True)])
+
+    def _windows(self, ids: np.ndarray) -> np.ndarray:
+        n = ids.shape[1] - 1
+        gates = np.empty((STRIDE, 2, 3, HIDDEN, n + 1), np.float32)
+        for i in range(STRIDE):
+            np.matmul(self.w, self.inputs.take(ids[i], axis=0).T, out=gates[i].reshape(6 * HIDDEN, n + 1))
+        at = lambda i, d: gates[i % STRIDE, d, ..., i // STRIDE : n + i // STRIDE]
+        states = np.empty((WINDOW, 2, HIDDEN, n), np.float32)
+        q, h, x = np.empty((3, 2, HIDDEN, n), np.float32), np.zeros((2, HIDDEN, n), np.float32), np.empty((2, HIDDEN, n), np.float32)
+        z, r, c = q
+        for i in range(WINDOW):  # filled-up places have no input and leave a state of 0 as it is; those after the words are not attended to
+            f, b = at(i, 0), at(WINDOW - 1 - i, 1)
+            np.matmul(self.u, h.reshape(2 * HIDDEN, n), out=q.reshape(6 * HIDDEN, n))
+            q[:2, 0] += f[:2]
+            q[:2, 1] += b[:2]
+            np.tanh(q[:2], out=q[:2])
+            r += 1  # the half is in u
+            c *= r
+            c[0] += f[2]
+            c[1] += b[2]
+            np.tanh(c, out=c)
+            z += 1
+            z *= 0.5
+            np.subtract(h, c, out=x)
+            x *= z
+            np.add(x, c, out=h)
+            states[i, 0], states[WINDOW - 1 - i, 1] = h
+        seen = np.matmul(self.seen, states.reshape(WINDOW, 2 * HIDDEN, n))
+        k = seen[:, :HIDDEN]
+        e = np.matmul(self.network.p["v"], np.tanh(k, out=k))
+        for i in range(1, WINDOW):  # an empty window still has its first place
+            e[i][ids[i % STRIDE, i // STRIDE : n + i // STRIDE] == 0] = -1e9
+        e -= e.max(axis=0)
+        np.exp(e, out=e)
+        return (e * seen[:, HIDDEN]).sum(axis=0) / e.sum(axis=0) + self.network.p["b"][0]
 
 
 def _filled(ids: np.ndarray) -> np.ndarray:
@@ -397,11 +458,7 @@ def _scorer(network: Network):
     own = Vocabulary(network)
 
     def score(all_texts: list[str]) -> np.ndarray:
-        out = []
-        for a in range(0, len(all_texts), 64):
-            logits = own.logits([words_of(t) for t in all_texts[a : a + 64]])
-            out.append(np.array([x.max() for x in logits]))
-        return network.probability(np.concatenate(out).astype(np.float64))
+        return network.probability(np.array([x.max() for x in own.logits(map(words_of, all_texts))], np.float64))
 
     return score
 
